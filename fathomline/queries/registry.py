@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from fathomline.queries import references
+
+_MODULES = (references,)
+
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE: dict = {k: f for m in _MODULES for k, f in m.ORACLE.items()}
