@@ -21,9 +21,9 @@ SEPARATORS = r"[|;\t\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]"
 
 def _squashed(text: Column) -> Column:
     """Letters and numbers in sequence; a blank stays only between two numbers, FIELD stays."""
-    text = F.regexp_replace(folded(text), r"(?<!\p{Nd})[.,]|[.,](?!\p{Nd})", " ")
+    text = F.regexp_replace(folded(text), r"[.,](?:(?!\p{Nd})|(?<!\p{Nd}.))", " ")
     text = F.regexp_replace(text, rf"[^\p{{L}}\p{{Nd}}.,{FIELD}]+", " ")
-    return F.regexp_replace(text, r" (?!\p{Nd})|(?<!\p{Nd}) ", "")
+    return F.regexp_replace(text, r" (?:(?!\p{Nd})|(?<!\p{Nd} ))", "")
 
 
 def canonical(text: Column, fields: Column) -> Column:
@@ -32,12 +32,13 @@ def canonical(text: Column, fields: Column) -> Column:
     Null and contentless texts give null. A row of fields is a flat JSON object, or is cut at pipes,
     semicolons, tabs and line breaks; one that only looks like JSON is cut like any other.
     """
+    text = F.when(F.contains(text, F.lit(FIELD)), F.translate(text, FIELD, " ")).otherwise(text)
     pairs = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))
     row = F.coalesce(
         F.when(text.rlike(r"^\s*\{"), F.array_join(F.transform(pairs, lambda p: F.translate(p, FIELD, " ")), FIELD)),
-        F.regexp_replace(F.translate(text, FIELD, " "), SEPARATORS, FIELD),
+        F.regexp_replace(text, SEPARATORS, FIELD),
     )
-    squashed = _squashed(F.when(fields, row).otherwise(F.translate(text, FIELD, " ")))
+    squashed = _squashed(F.when(fields, row).otherwise(text))
     ordered = F.array_join(F.array_sort(F.filter(F.split(squashed, FIELD), lambda f: f != "")), FIELD)
     return F.nullif(F.when(fields, ordered).otherwise(squashed), F.lit(""))
 
@@ -113,7 +114,7 @@ def collapse_copies(rows: DataFrame, id_col: str, text: Column, fields: Column)
     """
     key = F.concat(F.when(fields, "f").otherwise("t"), canonical(text, fields))
     keyed = rows.select(F.col(id_col).alias("id"), key.alias("key")).where("key is not null and id is not null")
-    keyed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "key", "id")
+    keyed = materialize(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "key", "id"))  # the range sampling reads it too
     id_type = keyed.schema["id"].dataType.simpleString()
     scanned = materialize(
         keyed.repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "key", "id").mapInArrow(_scan, f"kind tinyint, part int, key string, head {id_type}, id {id_type}, n bigint")
