@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.copies import collapse_copies
+from fathomline.llm.enrich import distinctive_links, distinctive_terms
+from fathomline.llm.split import split_oversized
 from fathomline.session import table
 
 
@@ -24,7 +26,33 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.select(F.col("id").alias("row_id"), "copies")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records}
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = split_oversized(table(spark, folder, "chunks"), "row_id", F.col("text"), F.col("seq"))
+    return pieces.withColumnRenamed("id", "row_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_pieces(spark, folder).where("piece = 0").select("row_id")
+
+
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    gold, chunks = table(spark, folder, "gold"), table(spark, folder, "chunks")
+    links = distinctive_links(gold, "q_id", F.col("q"), chunks, "row_id", F.col("text"), 6)
+    return links.select(F.col("query_id").alias("q_id"), "row_id", "term", "query_score", "row_score")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_links(spark, folder).select("q_id", "row_id").distinct()
+
+
+def p4_chunk_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return distinctive_terms(table(spark, folder, "chunks"), "row_id", F.col("text")).withColumnRenamed("id", "row_id")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p4_found": p4_found, "p4_links": p4_links, "p4_chunk_terms": p4_chunk_terms,
+}
 
 _P1 = r"""
 WITH base AS (
@@ -44,5 +72,11 @@ keyed AS (
 ORACLE = {
     "p1_found": _P1 + """, grouped AS (SELECT min(row_id) OVER (PARTITION BY g, key) AS first_row, row_id AS copy_row FROM keyed WHERE len(key) > 0)
 SELECT first_row, copy_row FROM grouped WHERE first_row <> copy_row""",
+    "p3_found": "SELECT row_id FROM chunks WHERE length(text) > 1400",
+    "p4_found": r"""
+WITH t AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '\p{L}{2,}|\p{Nd}{2,}'))) AS term FROM chunks),
+rare AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 6),
+g AS (SELECT q_id, unnest(list_distinct(regexp_extract_all(replace(lower(q), 'ß', 'ss'), '\p{L}{2,}|\p{Nd}{2,}'))) AS term FROM gold)
+SELECT DISTINCT q_id, row_id FROM g JOIN rare USING (term) JOIN t USING (term)""",
     "p1_records": _P1 + "SELECT min(row_id) AS row_id, count(*) AS copies FROM keyed WHERE len(key) > 0 GROUP BY g, key",
 }
