@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fathomline.queries import references
+from fathomline.queries import chunking, layouts, records, references, retrieval, verification
 
-_MODULES = (references,)
+_MODULES = (retrieval, chunking, verification, layouts, records, references)
 
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict = {k: f for m in _MODULES for k, f in m.ORACLE.items()}
