@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.copies import collapse_copies
 from fathomline.llm.enrich import distinctive_links, distinctive_terms
+from fathomline.llm.leaks import find_leaks
+from fathomline.llm.mixture import mix
+from fathomline.llm.neighbours import loss_card, nearest, route
+from fathomline.llm.reading import ReadingModel, fit_reading, level_profile, reading_levels
 from fathomline.llm.split import split_oversized
 from fathomline.session import table
 
@@ -49,9 +53,71 @@ def p4_chunk_terms(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive_terms(table(spark, folder, "chunks"), "row_id", F.col("text")).withColumnRenamed("id", "row_id")
 
 
+def _routed(spark: SparkSession, folder: str):
+    return route(table(spark, folder, "vectors"), "vec_id", F.col("embedding"), 64)
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_routed(spark, folder)).withColumnsRenamed({"id": "vec_id", "other": "neighbour"})
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    close = nearest(_routed(spark, folder)).where("cosine >= 0.9")
+    return close.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
+
+
+def p5_card(spark: SparkSession, folder: str) -> DataFrame:
+    return loss_card(_routed(spark, folder))
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), "doc_id", F.col("text"), table(spark, folder, "eval_items"), "item_id", F.col("text"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).where("run >= 12").select("doc_id", "item_id")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mix(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("source"), table(spark, folder, "source_targets"))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    chosen, _ = _mixed(spark, folder)
+    return chosen.select(F.col("id").alias("doc_id"), "source", "tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
+def _model(spark: SparkSession, folder: str) -> ReadingModel:
+    return fit_reading(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("source"), table(spark, folder, "reading_labels"))
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    levels = reading_levels(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("source"), F.col("lang"), _model(spark, folder))
+    return levels.withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_levels(spark, folder).where("words >= 40 and lix >= 62").select("doc_id")
+
+
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return level_profile(p8_levels(spark, folder))
+
+
+def p8_folds(spark: SparkSession, folder: str) -> DataFrame:
+    model = _model(spark, folder)
+    return spark.createDataFrame(model.folds, "fold int, docs int, error double, error_of_mean double, within_half double")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p4_found": p4_found, "p4_links": p4_links, "p4_chunk_terms": p4_chunk_terms,
+    "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_card": p5_card, "p6_found": p6_found, "p6_leaks": p6_leaks,
+    "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile, "p8_folds": p8_folds,
 }
 
 _P1 = r"""
@@ -79,4 +145,18 @@ rare AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 6),
 g AS (SELECT q_id, unnest(list_distinct(regexp_extract_all(replace(lower(q), 'ß', 'ss'), '\p{L}{2,}|\p{Nd}{2,}'))) AS term FROM gold)
 SELECT DISTINCT q_id, row_id FROM g JOIN rare USING (term) JOIN t USING (term)""",
     "p1_records": _P1 + "SELECT min(row_id) AS row_id, count(*) AS copies FROM keyed WHERE len(key) > 0 GROUP BY g, key",
+    "p5_found": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
+    "p6_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '\p{L}+|\p{Nd}+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '\p{L}+|\p{Nd}+') AS w FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+eg AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p8_found": r"""
+WITH d AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '\p{L}+') AS w,
+  len(list_filter(regexp_split_to_array(t, '[.!?](?:\s|$)|\n[ \t\r]*\n'), lambda s: regexp_matches(s, '\p{L}'))) AS s FROM d)
+SELECT doc_id FROM w WHERE len(w) >= 40 AND len(w) / s + 100.0 * len(list_filter(w, lambda x: length(x) > 6)) / len(w) >= 62""",
 }
