@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import MONEY, ROW_LABEL, digits, is_money, row_label
+from fathomline.functions.text import MONEY, ROW_LABEL, compact, digits, is_money, row_label
 
 BAND, RIGHT = 14, 60
 LINES = "doc string, page int, line_seq int, text string, x double, y double, x2 double"
@@ -84,7 +84,8 @@ def keyword_pairs(lines: pd.DataFrame, keywords: list[tuple[str, tuple, tuple]],
 
 
 def greedy_pairs(lines: DataFrame, anchored: DataFrame, codes: dict[int, str], keywords: list[tuple[str, tuple, tuple]]) -> DataFrame:
-    """The values of ``anchored`` and, for codes still without one, of column and then keyword pairing."""
+    """The values of ``anchored`` and, for codes still without one, of column and then keyword pairing.
+    A document's labels and amounts, not its other lines, meet in one task."""
 
     def per_doc(key: tuple, own: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         done = set(have.code)
@@ -93,7 +94,11 @@ def greedy_pairs(lines: DataFrame, anchored: DataFrame, codes: dict[int, str], k
         out += keyword_pairs(own, keywords, done)
         return pd.DataFrame([(key[0], *r) for r in out], columns=["doc", "code", "raw", "page", "y"])
 
-    return lines.where("text is not null and doc is not null").groupBy("doc").cogroup(anchored.groupBy("doc")).applyInPandas(per_doc, VALUES)
+    needed = is_money(F.trim("text")) | row_label("text").isNotNull()
+    for _, words, _ in keywords:
+        needed = needed | F.contains(compact("text"), F.lit(words[0]))
+    lines = lines.where("text is not null and doc is not null").where(needed)  # the rest takes part in no pair
+    return lines.groupBy("doc").cogroup(anchored.groupBy("doc")).applyInPandas(per_doc, VALUES)
 
 
 def joined_cents(lines: DataFrame) -> DataFrame:
