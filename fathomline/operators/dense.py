@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stored rows of a part that are compared at once, and queries at once.
-BLOCK, QUERIES_AT_ONCE = 2_048, 8_192
+#: Stored rows and queries that meet in one task.
+GROUP_ROWS, QUERIES_AT_ONCE = 8_192, 16_384
 
 
 def usable(vector: Column, dims: int) -> Column:
@@ -42,62 +43,76 @@ def kth_bound(sims: np.ndarray, k: int, group: int = 16) -> np.ndarray:
     return -np.partition(-sims, k - 1, axis=1)[:, k - 1]
 
 
+def packs(loads: dict[int, int]) -> tuple[list[int], list[int], int]:
+    """By part: its first group and its number of groups; and how many groups there are. Parts that follow
+    each other share a group of up to GROUP_ROWS stored rows; a larger part has several of its own."""
+    first, several = [0] * (max(loads, default=0) + 1), [1] * (max(loads, default=0) + 1)
+    group, room = -1, 0
+    for part in sorted(loads):
+        if loads[part] > GROUP_ROWS:
+            first[part], several[part] = group + 1, -(-loads[part] // GROUP_ROWS)
+            group, room = group + several[part], 0
+            continue
+        if loads[part] > room:
+            group, room = group + 1, GROUP_ROWS
+        room -= loads[part]
+        first[part] = group
+    return first, several, group + 1
+
+
 def search(stored: DataFrame, queries: DataFrame, dims: int, k: int) -> DataFrame:
     """(id, near): the k nearest others of each query among the stored rows of its parts, nearest
     first, ties by id. stored(id, v, part), queries(id, v, parts).
 
-    A part is cut into blocks of about BLOCK stored rows and QUERIES_AT_ONCE queries, and each block
-    of the one meets each of the other, so that no task has more than that of a crowded part. Similarities are rounded to 6 digits.
+    Stored rows are packed into groups of GROUP_ROWS (several parts, or a piece of a crowded one). A query
+    goes once to each group that it needs, in blocks of QUERIES_AT_ONCE, so no task has more than that of
+    either. Similarities are rounded to 6 digits (in single precision the last may differ).
     """
-
-    def blocks(df: DataFrame, size: int) -> dict[int, int]:  # a row per part
-        return {r[0]: -(-r[1] // size) for r in df.groupBy("part").count().collect()}
-
-    asked = queries.select("id", "v", F.explode("parts").alias("part"))
-    of_rows, of_queries = blocks(stored, BLOCK), blocks(queries.select(F.explode("parts").alias("part")), QUERIES_AT_ONCE)
-
-    def number(of: dict[int, int]) -> Column:
-        if not of:
-            return F.lit(1)
-        return F.coalesce(F.create_map(*(F.lit(x) for item in of.items() for x in item))[F.col("part")], F.lit(1))
-
-    def spread(df: DataFrame, own: dict, other: dict, kind: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), number(own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), number(other) - 1))
-        return df.select("id", "v", "part", mine.alias("mine"), every.alias("every")).select("id", "v", "part", *((F.col("mine").alias("b"), F.col("every").alias("q")) if kind == 0 else (F.col("every").alias("b"), F.col("mine").alias("q"))), F.lit(kind).alias("kind"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        kind = group["kind"].to_numpy()
-        ids = group["id"].to_numpy()
-        s, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        schema = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))])
-        if not len(s) or not len(q):
+    first, several, groups = packs({r[0]: r[1] for r in stored.groupBy("part").count().collect()})  # a row per part
+    first_of, several_of = (F.array(*map(F.lit, x)) for x in (first, several))
+    own = F.get(first_of, F.col("part")) + F.pmod(F.xxhash64("id"), F.get(several_of, F.col("part"))).cast("int")
+    rows = stored.withColumn("g", own)
+    known = F.filter("parts", lambda p: p < len(first))
+    need = F.array_distinct(F.flatten(F.transform(known, lambda p: F.sequence(F.get(first_of, p), F.get(first_of, p) + F.get(several_of, p) - 1))))
+    asked = queries.select("id", "v", "parts", F.explode(need).alias("g"))
+    counts = {r[0]: r[1] for r in queries.select(F.explode(need).alias("g")).groupBy("g").count().collect()}  # a row per group
+    blocks = F.get(F.array(*(F.lit(max(1, -(-counts.get(g, 0) // QUERIES_AT_ONCE))) for g in range(max(1, groups)))), F.col("g"))
+    here = F.filter("parts", lambda p: (p < len(first)) & (F.get(first_of, p) <= F.col("g")) & (F.col("g") < F.get(first_of, p) + F.get(several_of, p)))
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    both = rows.select("id", "v", F.array("part").alias("parts"), "g", F.lit(0).alias("kind"), every.alias("q")).unionByName(
+        asked.select("id", "v", here.alias("parts"), "g", F.lit(1).alias("kind"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("q"))
+    )
+    schema = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))])
+
+    def compare(table: pa.Table) -> pa.Table:
+        kind, ids = table["kind"].to_numpy(), table["id"].to_numpy()
+        lists = table["parts"].combine_chunks()
+        part, row = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
+        if not (kind == 0).any() or not (kind == 1).any():
             return schema.empty_table()
-        x = unpacked(group["v"], dims)
-        stored_x, stored_ids = x[s], ids[s]
-        far, near, lengths = [], [], []
-        for at in range(0, len(q), 512):
-            rows = q[at : at + 512]
-            sims = x[rows] @ stored_x.T
-            sims[ids[rows][:, None] == stored_ids[None, :]] = -np.inf
-            r, c = np.nonzero(sims >= (kth_bound(sims, k) - 2e-6)[:, None])
-            value = np.round(sims[r, c], 6)  # ties are then the same on every machine
-            kept = np.isfinite(value)
-            r, c, value = r[kept], c[kept], value[kept]
-            order = np.lexsort((stored_ids[c], -value, r))
-            r, c, value = r[order], c[order], value[order]
-            counts = np.bincount(r, minlength=len(rows))
-            kept = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts) < k
-            r, c, value = r[kept], c[kept], value[kept]
-            far.append(-value.astype(np.float64))
-            near.append(stored_ids[c])
-            lengths.append(np.bincount(r, minlength=len(rows)))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
-        structs = pa.StructArray.from_arrays([pa.array(np.concatenate(far)), pa.array(np.concatenate(near))], names=["far", "id"])
-        return pa.Table.from_arrays([pa.array(ids[q]), pa.ListArray.from_arrays(pa.array(offsets), structs)], schema=schema)
-
-    both = spread(stored, of_rows, of_queries, 0).unionByName(spread(asked, of_queries, of_rows, 1))
-    found = both.groupBy("part", "b", "q").applyInArrow(compare, "id bigint, near array<struct<far:double,id:bigint>>")
+        x, found = unpacked(table["v"], dims), []
+        for p in np.unique(part[kind[row] == 0]):
+            of = row[part == p]
+            s, q = of[kind[of] == 0], of[kind[of] == 1]
+            for at in range(0, len(q), 512):
+                mine = q[at : at + 512]
+                sims = x[mine] @ x[s].T
+                sims[ids[mine][:, None] == ids[s][None, :]] = -np.inf
+                r, c = np.nonzero(sims >= (kth_bound(sims, k) - 2e-6)[:, None])
+                found.append((mine[r], ids[s[c]], np.round(sims[r, c], 6)))  # ties are then the same on every machine
+        q, other, value = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        kept = np.isfinite(value)
+        q, other, value = q[kept], other[kept], value[kept]
+        order = np.lexsort((other, -value, q))
+        q, other, value = q[order], other[order], value[order]
+        asking, start = np.unique(q, return_index=True)
+        size = np.diff(np.append(start, len(q)))
+        kept = np.arange(len(q)) - np.repeat(start, size) < k
+        offsets = np.concatenate([[0], np.cumsum(np.minimum(size, k))]).astype(np.int32)
+        structs = pa.StructArray.from_arrays([pa.array(-value[kept].astype(np.float64)), pa.array(other[kept])], names=["far", "id"])
+        return pa.Table.from_arrays([pa.array(ids[asking]), pa.ListArray.from_arrays(pa.array(offsets), structs)], schema=schema)
+
+    found = both.groupBy("g", "q").applyInArrow(compare, "id bigint, near array<struct<far:double,id:bigint>>")
     return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
