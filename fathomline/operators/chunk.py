@@ -63,7 +63,7 @@ def greedy(docs: DataFrame, id_col: str, blocks: Column, size: int = 900, least:
 
 def word_windows(docs: DataFrame, id_col: str, text: Column, prefix: Column, size: int = 480) -> DataFrame:
     """(id, win, text): the prefix and as many words as ``size`` allows; each window begins with the
-    prefix, and a word that is too long has a window of its own."""
+    prefix as it is, and a word that is too long has a window of its own. Null texts have none."""
     words = F.split(text, " ")
     pre = F.coalesce(prefix, F.lit(""))
     start = F.struct(F.array().cast("array<string>").alias("done"), pre.alias("buf"))
@@ -71,10 +71,10 @@ def word_windows(docs: DataFrame, id_col: str, text: Column, prefix: Column, siz
     def step(s: Column, word: Column) -> Column:
         over = (F.char_length(s["buf"]) + F.char_length(word) + 1 > size) & (s["buf"] != pre)
         base = F.when(over, pre).otherwise(s["buf"])
-        return F.struct(F.when(over, F.concat(s["done"], F.array(s["buf"]))).otherwise(s["done"]).alias("done"), F.concat(base, F.lit(" "), word).alias("buf"))
+        return F.struct(F.when(over, F.concat(s["done"], F.array(s["buf"]))).otherwise(s["done"]).alias("done"), F.concat(base, F.when(base == pre, "").otherwise(" "), word).alias("buf"))
 
-    found = F.when(F.char_length(pre) + F.char_length(text) <= size, F.array(F.concat(pre, F.lit(" "), text))).otherwise(
-        F.aggregate(words, start, step, lambda s: F.concat(s["done"], F.array(s["buf"])))
+    found = F.when(F.char_length(pre) + F.char_length(text) <= size, F.array(F.concat(pre, text))).otherwise(
+        F.aggregate(words, start, step, lambda s: F.when(s["buf"] != pre, F.concat(s["done"], F.array(s["buf"]))).otherwise(s["done"]))
     )
     return docs.select(F.col(id_col).alias("id"), F.posexplode(found).alias("win", "text"))
 

@@ -28,7 +28,7 @@ def greedy_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def word_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return chunk.word_windows(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("doc_type"))
+    return chunk.word_windows(table(spark, folder, "documents"), "doc_id", F.col("text"), F.concat("doc_type", F.lit(" — ")))
 
 
 def char_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,12 +105,12 @@ UNION ALL SELECT id, bs, n + 1, CASE WHEN length(j) >= 900 THEN j END, s, CASE W
   FROM (SELECT *, CASE WHEN buf = '' THEN bs[n + 1] ELSE buf || chr(10) || chr(10) || bs[n + 1] END AS j, CASE WHEN buf = '' THEN n ELSE seq END AS s FROM f WHERE n < len(bs))),
 o AS (SELECT id, dseq AS seq, {_TRIM.format('done')} AS t FROM f WHERE done IS NOT NULL UNION ALL SELECT id, seq, {_TRIM.format('buf')} FROM f WHERE n = len(bs))
 SELECT id, seq, substr(sha256(t), 1, 16) AS text_id, substr(t, 1, 1400) AS text FROM o WHERE length(t) >= 120""",
-    "word_windows": """WITH RECURSIVE b AS (SELECT doc_id AS id, coalesce(doc_type, '') AS pre, text, string_split(text, ' ') AS ws FROM documents),
+    "word_windows": """WITH RECURSIVE b AS (SELECT doc_id AS id, coalesce(doc_type || ' — ', '') AS pre, text, string_split(text, ' ') AS ws FROM documents),
 f AS (SELECT id, pre, ws, 0 AS n, 0 AS win, pre AS buf, CAST(NULL AS VARCHAR) AS done FROM b WHERE length(pre) + length(text) > 480
-UNION ALL SELECT id, pre, ws, n + 1, win + CAST(ov AS INT), CASE WHEN ov THEN pre ELSE buf END || ' ' || ws[n + 1], CASE WHEN ov THEN buf END
+UNION ALL SELECT id, pre, ws, n + 1, win + CAST(ov AS INT), CASE WHEN ov OR buf = pre THEN pre ELSE buf || ' ' END || ws[n + 1], CASE WHEN ov THEN buf END
   FROM (SELECT *, length(buf) + length(ws[n + 1]) + 1 > 480 AND buf <> pre AS ov FROM f WHERE n < len(ws)))
-SELECT id, win - 1 AS win, done AS text FROM f WHERE done IS NOT NULL UNION ALL SELECT id, win, buf FROM f WHERE n = len(ws)
-UNION ALL SELECT id, 0, pre || ' ' || text FROM b WHERE length(pre) + length(text) <= 480""",
+SELECT id, win - 1 AS win, done AS text FROM f WHERE done IS NOT NULL UNION ALL SELECT id, win, buf FROM f WHERE n = len(ws) AND buf <> pre
+UNION ALL SELECT id, 0, pre || text FROM b WHERE length(pre) + length(text) <= 480""",
     "char_windows": "SELECT doc_id AS id, CAST(s AS INT) AS start, substr(text, s + 1, 480) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 460)) AS s FROM documents WHERE length(text) > 0)",
     "keep_rows": f"SELECT row_id, coalesce(contains(text, ' | ') OR length(text) >= 25 OR regexp_matches(text, '{_MONEY_IN}'), false) AS kept, coalesce(contains(text, ' | ') OR length(text) >= 25 OR regexp_matches(text, '[0-9]'), false) AS kept_lite FROM chunks WHERE reader = 'glyph'",
     "row_chunks": f"""WITH k AS (SELECT doc, row_id, {_TRIM.format('text')} AS text FROM chunks WHERE reader = 'glyph'),
@@ -123,7 +123,7 @@ SELECT doc, row_id, CAST(row_number() OVER (PARTITION BY doc ORDER BY row_id) -
 m AS (SELECT DISTINCT unnest([g || ' EUR', replace(g, ',', ';'), replace(g, ',', ' | '), replace(g, ',', '.')]) AS misread FROM a)
 SELECT misread, {_REPAIR} AS repaired, regexp_matches({_REPAIR}, '{T.MONEY}') AS money FROM m""",
     "digits_only": "SELECT q_id, regexp_replace(coalesce(value, ''), '[^0-9]', '', 'g') AS digits FROM gold",
-    "number_variants": "SELECT row_id, CASE WHEN coalesce(value, '') = '' THEN '' ELSE array_to_string(list_sort(list_distinct([value, regexp_replace(value, '[.]0$', ''), replace(value, '.', ',')])), ' / ') END AS variants FROM claims_in",
+    "number_variants": "SELECT row_id, CASE WHEN trim(coalesce(value, '')) = '' THEN '' ELSE array_to_string(list_sort(list_distinct([trim(value), regexp_replace(trim(value), '[.]0$', ''), replace(trim(value), '.', ',')])), ' / ') END AS variants FROM claims_in",
     "telling_words": "WITH w AS (SELECT row_id, attribute, regexp_extract_all(attribute, '[A-Za-zÄÖÜäöüß]{4,}') AS ws FROM claims_in) SELECT row_id, coalesce(list_filter(ws, lambda x: length(x) = list_max(list_transform(ws, lambda y: length(y))))[1], attribute) AS word FROM w",
     "scalar_functions": rf"""SELECT row_id, lower(regexp_replace(substr(text, 1, 80), '\s+', '', 'g')) AS compact,
   CASE WHEN length(e) >= 3 THEN e END AS employer, CASE WHEN contains(stem, '_') THEN string_split(regexp_extract(stem, '^[^_]*_(.*)$', 1), '-')[1] ELSE stem END AS number,

@@ -37,7 +37,7 @@ QUERIES = {f.__name__: f for f in (atom_verdicts, atom_verdicts_boxes_only, verd
 
 def _prepared() -> str:
     trim = lambda c: rf"nullif(lower(regexp_replace({c}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')), '')"
-    var = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN [] ELSE list_distinct([{c}, regexp_replace({c}, '[.]0$', ''), replace({c}, '.', ',')]) END"
+    var = lambda c: f"CASE WHEN trim(coalesce({c}, '')) = '' THEN [] ELSE list_distinct([trim({c}), regexp_replace(trim({c}), '[.]0$', ''), replace(trim({c}), '.', ',')]) END"
     return f"""
 c0 AS (SELECT *, coalesce(kind, CASE WHEN regexp_matches(replace(coalesce(value, ''), '.', ''), '^[0-9]+$') THEN 'N' ELSE 'A' END) AS k,
   list_filter(list_transform(coalesce(docs, []), lambda d: {trim('d')}), lambda d: d IS NOT NULL) AS ds, regexp_extract_all(coalesce(attribute, ''), '[A-Za-zÄÖÜäöüß]{{4,}}') AS ws FROM claims_in),

@@ -168,3 +168,23 @@ def test_verdicts(spark):
     assert {k: r.verdict for k, r in got.items()} == want and got[1].proof_doc == "d1"
     ids = verify.atom_ids(spark.createDataFrame(rows, claim), ["attribute", "value", "unit"])
     assert ids.select("atom_id").distinct().count() == 9 and ids.union(ids).select("atom_id").distinct().count() == 9
+
+
+def test_documents(spark):
+    from fathomline.operators import documents as D
+
+    rows = [("Name des Arbeitgebers", 0.0, 10.0, 9.0), ("Anschrift des Arbeitgebers", 0.0, 20.0, 9.0), ("12 Zahl", 0.0, 30.0, 9.0), ("Muster GmbH, 12345 Ort", 0.0, 40.0, 9.0), ("Fern AG", 0.0, 400.0, 9.0)]
+    assert D.employers(lines(spark, *rows)).first().employer == "Muster GmbH"
+    assert D.employers(lines(spark, *rows[2:3], *rows[4:])).first().employer == "Fern AG"
+    assert D.employers(lines(spark, ("nichts", 0.0, 0.0, 1.0))).first().employer is None
+    ink = spark.createDataFrame([(1, 5.0, 5.0, 0), (2, 5.0, 5.0, 1), (3, 0.5, 5.0, 0), (4, 5.0, 5.0, None)], "seq int, w double, h double, ink_sum int")
+    assert sorted(r.seq for r in D.visible(ink).collect()) == [2, 3]
+    codes = spark.createDataFrame([(3, "A")], "number int, code string")
+    table = spark.createDataFrame([("d", 1, 5, ["", "3. Brutto", "11.111,11 ", "2,00"]), ("d", 1, 9, ["3. Brutto", "7,00"]), ("d", 2, 1, ["x", "1,00"])], "doc string, page int, y int, cells array<string>")
+    assert [tuple(r) for r in D.table_witness(table, codes).collect()] == [("d", "A", "11.111,11", 1, 5)]
+    cells = [("Name", 0, 0), ("Wert", 300, 0), ("Druck", 0, 30), ("12,5", 300, 30), ("Druck", 0, 60), ("12,5", 300, 60)]
+    page = spark.createDataFrame([("d", 1, i, t, float(x), float(y), 20.0, 10.0, None) for i, (t, x, y) in enumerate(cells)], GLYPH)
+    files = spark.createDataFrame([("d", "a/x_77-1.pdf", "Pumpe"), ("e", "b.pdf", None)], "doc string, source string, prefix string")
+    assert [(r.doc, r.seq, r.text) for r in D.row_chunks(page, files).orderBy("doc", "seq").collect()] == [
+        ("d", 0, "Document 77 · Pumpe"), ("d", 1, "Pumpe — Name | Wert"), ("d", 2, "Pumpe — Druck | 12,5"), ("e", 0, "Document b"),
+    ]
