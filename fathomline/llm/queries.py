@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.copies import collapse_copies
-from fathomline.llm.enrich import distinctive_links, distinctive_terms
+from fathomline.llm.enrich import distinctive_in, distinctive_links, distinctive_terms
 from fathomline.llm.leaks import find_leaks
 from fathomline.llm.mixture import mix
 from fathomline.llm.neighbours import loss_card, nearest, route
@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     records, _ = _chunk_copies(spark, folder)
-    return records.select(F.col("id").alias("row_id"), "copies")
+    return records.select(F.col("id").alias("row_id"), "copies").join(table(spark, folder, "chunks").select("row_id", "id", "text"), "row_id")
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,6 +49,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_links(spark, folder).select("q_id", "row_id").distinct()
 
 
+def p4_question_terms(spark: SparkSession, folder: str) -> DataFrame:
+    terms = distinctive_in(table(spark, folder, "gold"), "q_id", F.col("q"), table(spark, folder, "chunks"), "row_id", F.col("text"))
+    return terms.withColumnRenamed("id", "q_id")
+
+
 def p4_chunk_terms(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive_terms(table(spark, folder, "chunks"), "row_id", F.col("text")).withColumnRenamed("id", "row_id")
 
@@ -115,7 +120,7 @@ def p8_folds(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_pieces": p3_pieces,
-    "p4_found": p4_found, "p4_links": p4_links, "p4_chunk_terms": p4_chunk_terms,
+    "p4_found": p4_found, "p4_links": p4_links, "p4_question_terms": p4_question_terms, "p4_chunk_terms": p4_chunk_terms,
     "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_card": p5_card, "p6_found": p6_found, "p6_leaks": p6_leaks,
     "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile, "p8_folds": p8_folds,
 }
@@ -144,7 +149,8 @@ WITH t AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(replace(lower(
 rare AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 6),
 g AS (SELECT q_id, unnest(list_distinct(regexp_extract_all(replace(lower(q), 'ß', 'ss'), '\p{L}{2,}|\p{Nd}{2,}'))) AS term FROM gold)
 SELECT DISTINCT q_id, row_id FROM g JOIN rare USING (term) JOIN t USING (term)""",
-    "p1_records": _P1 + "SELECT min(row_id) AS row_id, count(*) AS copies FROM keyed WHERE len(key) > 0 GROUP BY g, key",
+    "p1_records": _P1 + """, r AS (SELECT min(row_id) AS row_id, count(*) AS copies FROM keyed WHERE len(key) > 0 GROUP BY g, key)
+SELECT r.row_id, copies, id, text FROM r JOIN chunks USING (row_id)""",
     "p5_found": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
