@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT = r"^[A-Za-z0-9._-]+$"
@@ -64,8 +64,8 @@ def subtree(containers: DataFrame, path: str) -> DataFrame:
 def upserted(now: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
     """The latest row per key of both; an invalid slug changes nothing."""
     both = now.unionByName(new.where(F.col(key).rlike(r"^[A-Za-z0-9._/-]+$")))
-    latest = Window.partitionBy(key).orderBy(F.desc(at))
-    return both.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+    latest = both.groupBy(key).agg(F.max_by(F.struct(*(c for c in both.columns if c != key)), at).alias("__r"))
+    return latest.select(key, "__r.*").select(now.columns)
 
 
 def isolation(value: Column) -> Column:

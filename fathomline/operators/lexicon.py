@@ -44,12 +44,16 @@ def corrected(words: DataFrame, lexicon: DataFrame, most: int = 2) -> DataFrame:
 
 
 def held_out(docs: DataFrame, doc: str, kind: str, share: float = 0.15) -> DataFrame:
-    """(kind, doc): a share of each kind's documents, at least one, by hash; ties of the hash by document."""
-    rows = docs.select(kind, doc).distinct().withColumn("h", F.md5(F.col(doc).cast("string")))
-    order = Window.partitionBy(kind).orderBy("h", doc)
-    sizes = rows.groupBy(F.col(kind).alias("__kind")).agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * share)).alias("most"))
-    rows = rows.withColumn("n", F.row_number().over(order)).join(F.broadcast(sizes), F.col(kind).eqNullSafe(F.col("__kind")))  # sizes: a row per kind
-    return rows.where("n <= most").select(kind, doc)
+    """(kind, doc): a share of each kind's documents, at least one, by hash; ties of the hash by document.
+    Ranks are carried over the hash's first two digits, so a frequent kind is ranked by many tasks."""
+    rows = docs.select(F.col(kind).alias("kind"), F.col(doc).alias("doc")).distinct().withColumn("h", F.md5(F.col("doc").cast("string"))).withColumn("slice", F.substring("h", 1, 2))
+    slices = rows.groupBy("kind", "slice").agg(F.count(F.lit(1)).alias("n"))
+    of_kind = Window.partitionBy("kind")
+    before = F.coalesce(F.sum("n").over(of_kind.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.select(F.col("kind").alias("k"), F.col("slice").alias("s"), before.alias("before"), F.greatest(F.lit(1), F.bround(F.sum("n").over(of_kind) * share)).alias("most"))
+    rows = rows.join(slices, F.col("kind").eqNullSafe(F.col("k")) & (F.col("slice") == F.col("s")))
+    place = F.row_number().over(Window.partitionBy("kind", "slice").orderBy("h", "doc")) + F.col("before")
+    return rows.withColumn("place", place).where("place <= most").select(F.col("kind").alias(kind), F.col("doc").alias(doc))
 
 
 def accuracy(rows: DataFrame, kind: str, truth: str, raw: str, fixed: str) -> DataFrame:
