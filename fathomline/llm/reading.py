@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,17 @@ FEATURES = (
 )
 
 
-def features(text: str | None) -> list[float]:
+def syllables_of(word: str, memo: dict[str, int]) -> int:
+    """Runs of vowels, at least one; ``memo`` keeps what a task has seen, up to 200,000 words."""
+    found = memo.get(word)
+    if found is None:
+        if len(memo) >= 200_000:
+            memo.clear()
+        found = memo[word] = max(1, len(VOWELS.findall(word)))
+    return found
+
+
+def features(text: str | None, memo: dict[str, int] | None = None) -> list[float]:
     """FEATURES of a whole text. A word is a run of letters, ß counts as ss; a sentence ends at . ! or ?
     before a blank or the end, and at an empty line, and has a word. Without words all are 0."""
     text = (text or "").lower().replace("ß", "ss")
@@ -36,18 +47,18 @@ def features(text: str | None) -> list[float]:
     lengths = np.fromiter(map(len, words), np.int64, n)
     spans = np.fromiter(map(len, sentences), np.int64, len(sentences))
     long = int((lengths > 6).sum())
-    seen: dict[str, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    syllables = {w: max(1, sum(1 for _ in VOWELS.finditer(w))) for w in seen}
-    spoken = sum(syllables[w] * c for w, c in seen.items())
+    seen = Counter(words)
+    memo = {} if memo is None else memo
+    spoken = np.fromiter((syllables_of(w, memo) for w in seen), np.int64, len(seen))
+    times = np.fromiter(seen.values(), np.int64, len(seen))
     sets = [set(s) for s in sentences]
     shared = np.array([len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:], strict=False)] or [0.0])
+    ninth = lambda v: float(np.sort(v)[(9 * len(v) - 1) // 10])
     half = len(set(words[n // 2 :]) - set(words[: n // 2])) / max(1, n - n // 2)
     return [
-        n, len(sentences), long, n / len(sentences) + 100 * long / n, lengths.mean(), lengths.std(), np.percentile(lengths, 90), spans.mean(), spans.std(),
-        np.percentile(spans, 90), spoken / n, sum(c for w, c in seen.items() if syllables[w] == 1) / n, len(seen) / n**0.8, sum(c == 1 for c in seen.values()) / n, text.count(",") / n,
-        (text.count(";") + text.count(":") + text.count("(")) / n, sum(map(str.isdigit, text)) / n, shared.mean(), shared.std(), half,
+        n, len(sentences), long, n / len(sentences) + 100 * long / n, lengths.mean(), lengths.std(), ninth(lengths), spans.mean(), spans.std(),
+        ninth(spans), int(spoken @ times) / n, int(times[spoken == 1].sum()) / n, len(seen) / n**0.8, int((times == 1).sum()) / n, text.count(",") / n,
+        (text.count(";") + text.count(":") + text.count("(")) / n, sum(map(text.count, "0123456789")) / n, shared.mean(), shared.std(), half,
     ]
 
 
@@ -142,7 +153,7 @@ def fit_reading(docs: DataFrame, doc_id: str, text: Column, source: Column, labe
     graded = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
     own = docs.select(F.col(doc_id).alias("doc_id"), text.alias("text"), F.coalesce(plain_key(source), F.lit("")).alias("source"))
     rows = own.join(F.broadcast(graded), "doc_id").mapInArrow(_measured(["doc_id", "grade", "raters", "source"]), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, grade double, raters bigint, source string, f array<double>")
-    got = rows.orderBy("doc_id").toArrow()  # at most MOST_LABELS rows
+    got = rows.toArrow().sort_by("doc_id")  # at most MOST_LABELS rows
     if len(got) < 20:
         return None
     x = np.array(got["f"].to_pylist())
@@ -173,8 +184,9 @@ def fit_reading(docs: DataFrame, doc_id: str, text: Column, source: Column, labe
 
 def _measured(keep: list[str], model: ReadingModel | None = None):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
         for batch in batches:
-            x = np.array([features(t) for t in batch["text"].to_pylist()]).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([features(t, memo) for t in batch["text"].to_pylist()]).reshape(batch.num_rows, len(FEATURES))
             kept = [batch[c] for c in keep]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
             if model is None:
