@@ -113,8 +113,9 @@ def collapse_copies(rows: DataFrame, id_col: str, text: Column, fields: Column)
     out; an id may occur twice and then counts twice; other columns don't matter.
     """
     key = F.concat(F.when(fields, "f").otherwise("t"), canonical(text, fields))
-    keyed = rows.select(F.col(id_col).alias("id"), key.alias("key")).where("key is not null and id is not null")
+    keyed = rows.select(F.col(id_col).alias("id"), key.alias("key"))
     keyed = materialize(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "key", "id"))  # the range sampling reads it too
+    keyed = keyed.where("key is not null and id is not null")  # here, else the filter would compute the keys once more
     id_type = keyed.schema["id"].dataType.simpleString()
     scanned = materialize(
         keyed.repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "key", "id").mapInArrow(_scan, f"kind tinyint, part int, key string, head {id_type}, id {id_type}, n bigint")
