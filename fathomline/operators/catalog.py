@@ -22,8 +22,8 @@ def valid_file(path: Column) -> Column:
     return F.coalesce((F.length(path) < 1024) & ~F.contains(path, F.lit("..")), F.lit(False))
 
 
-def parsed_id(ident: Column, prefix: str = "0711:") -> Column:
-    """The path of a container id: itself, or the colon form after its prefix."""
+def parsed_id(ident: Column, prefix: str = "ns:") -> Column:
+    """The path of a container id: itself, or the colon form after a namespace's prefix."""
     return F.when(ident.startswith(prefix), F.replace(F.substring(ident, len(prefix) + 1, 4096), F.lit(":"), F.lit("/"))).otherwise(ident)
 
 

@@ -31,7 +31,7 @@ def project_subtree(spark: SparkSession, folder: str) -> DataFrame:
 
 def path_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "chunks").select(F.coalesce("container_id", F.lit("")).alias("path"), "source", "seq").distinct()
-    return rows.select("path", "source", "seq", catalog.valid_path(F.col("path")).alias("ok_path"), catalog.valid_ref(F.col("source")).alias("ok_ref"), catalog.valid_file(F.col("source")).alias("ok_file"), catalog.parsed_id(F.concat(F.lit("0711:"), F.replace("path", F.lit("/"), F.lit(":")))).alias("parsed"), catalog.clamped_k(F.col("seq")).alias("k"))
+    return rows.select("path", "source", "seq", catalog.valid_path(F.col("path")).alias("ok_path"), catalog.valid_ref(F.col("source")).alias("ok_ref"), catalog.valid_file(F.col("source")).alias("ok_file"), catalog.parsed_id(F.concat(F.lit("ns:"), F.replace("path", F.lit("/"), F.lit(":")))).alias("parsed"), catalog.clamped_k(F.col("seq")).alias("k"))
 
 
 def _commits(spark: SparkSession, folder: str) -> DataFrame:

@@ -88,9 +88,13 @@ def repositories(paths: DataFrame, deepest: int = 11) -> DataFrame:
     return rows.select("path", F.col("p")[0].alias("tenant"), F.slice("p", 2, F.greatest(F.size("p") - 2, F.lit(0))).alias("project"), F.element_at("p", -1).alias("id"))
 
 
+# How names of quantized stores begin.
+QUANTIZED = ("turboquant", "tq")
+
+
 def stored_kind(store: str | None) -> str:
     """Which vectors a store name stands for: 'quantized' or 'f32'."""
-    return "quantized" if (store or "").startswith(("turboquant", "tq")) else "f32"
+    return "quantized" if (store or "").startswith(QUANTIZED) else "f32"
 
 
 def write_container(chunks: DataFrame, path: str, version: int) -> bool:

@@ -18,9 +18,9 @@ def test_catalog(spark):
     assert {r.tenant: (r.containers, r.projects, r.title) for r in catalog.tenants(c, over).collect()} == {"t": (2, 1, "Tee"), "u": (1, 1, "u"), "w": (0, 0, "Weh")}
     ks = spark.createDataFrame([("0",), ("-5",), ("99",), ("x",), (None,), ("7",)], "k string")
     assert [r[0] for r in ks.select(catalog.clamped_k(F.col("k"))).collect()] == [8, 1, 30, 8, 8, 7]
-    p = spark.createDataFrame([("a/b",), ("a",), ("a//b",), (None,), ("0711:a:b:c",)], "p string")
+    p = spark.createDataFrame([("a/b",), ("a",), ("a//b",), (None,), ("ns:a:b:c",)], "p string")
     assert [r[0] for r in p.select(catalog.valid_path(F.col("p"))).collect()] == [True, False, False, False, False]
-    assert p.where("p like '0711%'").select(catalog.parsed_id(F.col("p"))).first()[0] == "a/b/c"
+    assert p.where("p like 'ns:%'").select(catalog.parsed_id(F.col("p"))).first()[0] == "a/b/c"
     now = spark.createDataFrame([("a", 1, "x")], "slug string, at int, title string")
     new = spark.createDataFrame([("a", 2, "y"), ("b c", 3, "z"), ("d", 3, "w")], "slug string, at int, title string")
     assert sorted((r.slug, r.title) for r in catalog.upserted(now, new, "slug", "at").collect()) == [("a", "y"), ("d", "w")]
