@@ -28,7 +28,7 @@ def events(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def history(spark: SparkSession, folder: str) -> tuple[DataFrame, list[O.OrphanState], list]:
     """The history taken in year by year: judged references, states, and the bounds."""
-    refs, changes = events(spark, folder)
+    refs, changes = map(materialize, events(spark, folder))  # every increment reads them
     first, last = refs.agg(F.year(F.min("t")), F.year(F.max("t"))).first()
     bounds = [] if first is None else [dt.datetime(y, 1, 1, tzinfo=dt.UTC) for y in range(first + 1, last + 1)]
     return (*O.replay(refs, changes, bounds), bounds)
