@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators import catalog, codec, dense, ground, history, ingest, lexical, lexicon
-from fathomline.session import table
+from fathomline.session import materialize, table
 
 BOUNDS = [-0.12, 0.0, 0.12]
 LEVELS = [-0.18, -0.06, 0.06, 0.18]
@@ -192,7 +192,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def _unit(v: Column) -> Column:
-    return F.transform(v, lambda x: x / F.sqrt(_dot(v, v)))
+    return F.zip_with(v, F.array_repeat(F.sqrt(_dot(v, v)), F.size(v)), lambda x, n: x / n)
 
 
 def lloyd_encode(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,8 +209,9 @@ def cosine_fidelity(spark: SparkSession, folder: str) -> DataFrame:
 def score_recall10(spark: SparkSession, folder: str) -> DataFrame:
     """The fixed levels' neighbours against the exact ones, by true scores."""
     rows = _units(spark, folder)
-    back = rows.select("vec_id", F.transform(codec.codes(_unit(F.col("v")), BOUNDS), lambda c: F.element_at(F.array(*map(F.lit, LEVELS)), c + 1)).alias("b"))
+    back = materialize(rows.select("vec_id", F.transform(codec.codes(_unit(F.col("v")), BOUNDS), lambda c: F.element_at(F.array(*map(F.lit, LEVELS)), c + 1)).alias("b")))
     units, approx = dense.with_units(rows, "vec_id", F.col("v"), 64), dense.with_units(back, "vec_id", F.col("b"), 64)
+    units, approx = materialize(units), materialize(approx)
     exact = dense.exact_nearest(units, units.where("id % 20 = 0"), 64, 10)
     near = dense.exact_nearest(approx, approx.where("id % 20 = 0"), 64, 10)
     return codec.score_recall(exact, near, codec.true_scores(near, units)).select("queries", F.round("score_recall", 6).alias("score_recall"))
