@@ -77,4 +77,5 @@ FROM marks m JOIN keyed k ON epoch_us(k.t) < m.at GROUP BY 1, 2"""
 ORACLE = {
     "p2_found": _BASE + "SELECT tab, row_id, key AS ref_key FROM judged WHERE orphan",
     "p2_by_month": _BASE + "SELECT tab, strftime(make_timestamp(epoch_us(t)), '%Y-%m') AS month, count(*) AS refs, count(*) FILTER (WHERE orphan) AS orphans FROM judged GROUP BY 1, 2",
+    "p2_waiting": _BASE.rstrip() + _WAITING,
 }
