@@ -115,7 +115,7 @@ def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_folds(spark: SparkSession, folder: str) -> DataFrame:
     model = _model(spark, folder)
-    return spark.createDataFrame(model.folds, "fold int, docs int, error double, error_of_mean double, within_half double")
+    return spark.createDataFrame(model.folds if model else [], "fold int, docs int, error double, error_of_mean double, within_half double")
 
 
 QUERIES = {

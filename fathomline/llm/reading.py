@@ -182,27 +182,28 @@ def fit_reading(docs: DataFrame, doc_id: str, text: Column, source: Column, labe
     return ReadingModel(fit_trees(x, y, weight), *rising_fit(held[done], y[done], weight[done]), report)
 
 
-def _measured(keep: list[str], model: ReadingModel | None = None):
+def _measured(keep: list[str], model: ReadingModel | None = None, graded: bool = False):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
             x = np.array([features(t, memo) for t in batch["text"].to_pylist()]).reshape(batch.num_rows, len(FEATURES))
             kept = [batch[c] for c in keep]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
-            if model is None:
+            if not graded:
                 yield pa.RecordBatch.from_arrays([*kept, lists], names=[*keep, "f"])
             else:
-                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(model.grades(x), mask=x[:, 0] == 0)], names=[*keep, "f", "grade"])
+                grade = pa.array(model.grades(x), mask=x[:, 0] == 0) if model else pa.nulls(len(x), pa.float64())
+                yield pa.RecordBatch.from_arrays([*kept, lists, grade], names=[*keep, "f", "grade"])
 
     return measure
 
 
-def reading_levels(docs: DataFrame, doc_id: str, text: Column, source: Column, lang: Column, model: ReadingModel) -> DataFrame:
+def reading_levels(docs: DataFrame, doc_id: str, text: Column, source: Column, lang: Column, model: ReadingModel | None) -> DataFrame:
     """(id, source, lang, words, sentences, long_words, lix, grade, level): every document's calibrated
     grade, 1 easy to 4 demanding, and its rounded level. Texts that are null or have no word have
-    neither. lix is words per sentence plus the percentage of words longer than six letters."""
+    neither, nor has any without a model. lix is words per sentence plus the percentage of words longer than six letters."""
     rows = docs.select(F.col(doc_id).alias("id"), plain_key(source).alias("source"), F.substring(plain_key(lang), 1, 2).alias("lang"), text.alias("text"))
-    done = rows.mapInArrow(_measured(["id", "source", "lang"], model), f"id {rows.schema['id'].dataType.simpleString()}, source string, lang string, f array<double>, grade double")
+    done = rows.mapInArrow(_measured(["id", "source", "lang"], model, graded=True), f"id {rows.schema['id'].dataType.simpleString()}, source string, lang string, f array<double>, grade double")
     at = {name: F.col("f")[i] for i, name in enumerate(FEATURES)}
     return done.select("id", "source", "lang", *(at[c].cast("int").alias(c) for c in ("words", "sentences", "long_words")), at["lix"].alias("lix"), "grade", F.round("grade").cast("int").alias("level"))
 

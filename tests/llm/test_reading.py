@@ -44,3 +44,5 @@ def test_levels(spark):
     assert got[500].grade is None and got[501].level is None and got[502].words == 100_000
     assert R.level_profile(R.reading_levels(df, "doc_id", F.col("text"), F.col("source"), F.col("lang"), model)).agg(F.sum("docs")).first()[0] == 123
     assert R.fit_reading(df.where("false"), "doc_id", F.col("text"), F.col("source"), labels) is None
+    none = R.reading_levels(df, "doc_id", F.col("text"), F.col("source"), F.col("lang"), None).where("id = 100").first()
+    assert none.grade is None and none.level is None and none.lix == got[100].lix
