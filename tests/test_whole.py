@@ -33,3 +33,11 @@ def same(df, con, sql):
 def test_push_decisions_know_all_active_jobs(spark, con):
     sql = ORACLE["push_decisions"].replace("id % 7 = 0 AND status = 'running'", "status IN ('queued', 'running')")
     same(QUERIES["push_decisions"](spark, str(FOLDER)), con, sql)
+
+
+def test_context_blocks_hold_whole_passages(spark, con):
+    blocks = {r.q_id: r for r in QUERIES["context_block"](spark, str(FOLDER)).collect()}
+    hits = con.execute(f"SELECT q_id, text FROM ({ORACLE['bm25_topk']}) r JOIN chunks USING (row_id) WHERE rk <= 3").fetchall()
+    assert any(len(text) > 200 for _, text in hits)
+    assert all(text in blocks[q].block for q, text in hits)
+    assert sum(b.passages for b in blocks.values()) == len(hits)
