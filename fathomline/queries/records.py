@@ -71,7 +71,7 @@ def repo_refs(spark: SparkSession, folder: str) -> DataFrame:
 
 def blob_texts(spark: SparkSession, folder: str) -> DataFrame:
     size = F.octet_length("text").cast("long") * F.when(F.col("doc_id") % 3 == 0, 10000).otherwise(1)
-    return table(spark, folder, "documents").select("doc_id", history.blob_text(F.substring("text", 1, 40), size).alias("content"))
+    return table(spark, folder, "documents").select("doc_id", history.blob_text(F.col("text"), size).alias("content"))
 
 
 def _k() -> Column:

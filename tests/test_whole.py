@@ -41,3 +41,7 @@ def test_context_blocks_hold_whole_passages(spark, con):
     assert any(len(text) > 200 for _, text in hits)
     assert all(text in blocks[q].block for q, text in hits)
     assert sum(b.passages for b in blocks.values()) == len(hits)
+
+
+def test_blobs_hold_whole_texts(spark, con):
+    same(QUERIES["blob_texts"](spark, str(FOLDER)), con, ORACLE["blob_texts"].replace("substr(text, 1, 40)", "text"))
