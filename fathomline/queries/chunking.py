@@ -75,7 +75,7 @@ def telling_words(spark: SparkSession, folder: str) -> DataFrame:
 
 def scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks")
-    return chunks.select("row_id", T.compact(F.substring("text", 1, 80)).alias("compact"), T.clean_employer("text").alias("employer"), T.number_in_name("source").alias("number"), T.year_after("text", "Zustand|Prüfdatum").alias("year"), T.row_label("text").alias("label"))
+    return chunks.select("row_id", T.compact("text").alias("compact"), T.clean_employer("text").alias("employer"), T.number_in_name("source").alias("number"), T.year_after("text", "Zustand|Prüfdatum").alias("year"), T.row_label("text").alias("label"))
 
 
 QUERIES = {f.__name__: f for f in (

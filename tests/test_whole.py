@@ -45,3 +45,7 @@ def test_context_blocks_hold_whole_passages(spark, con):
 
 def test_blobs_hold_whole_texts(spark, con):
     same(QUERIES["blob_texts"](spark, str(FOLDER)), con, ORACLE["blob_texts"].replace("substr(text, 1, 40)", "text"))
+
+
+def test_compact_takes_whole_texts(spark, con):
+    same(QUERIES["scalar_functions"](spark, str(FOLDER)), con, ORACLE["scalar_functions"].replace("substr(text, 1, 80)", "text"))
