@@ -41,16 +41,11 @@ def bm25_topk_evalrank(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.evaluator_top(scores, table(spark, folder, "chunks"), "row_id", table(spark, folder, "gold"), "q_id").withColumnRenamed("id", "row_id")
 
 
-def _first_words() -> F.Column:
-    """A document's question: its first eight words."""
-    return F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-
-
 def _doc_rankings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents")
     units = dense.with_units(table(spark, folder, "embeddings"), "vec_id", F.col("embedding"), DIMS)
     queries = docs.where("doc_id % 20 = 0")
-    lex = lexical.top(lexical.bm25(docs, "doc_id", F.col("text"), lexical.query_terms(queries, "doc_id", _first_words())), 100)
+    lex = lexical.top(lexical.bm25(docs, "doc_id", F.col("text"), lexical.query_terms(queries, "doc_id", F.col("text"))), 100)
     near = dense.exact_nearest(units, units.where("id % 20 = 0"), DIMS, 100)
     return near, lex
 

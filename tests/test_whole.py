@@ -49,3 +49,8 @@ def test_blobs_hold_whole_texts(spark, con):
 
 def test_compact_takes_whole_texts(spark, con):
     same(QUERIES["scalar_functions"](spark, str(FOLDER)), con, ORACLE["scalar_functions"].replace("substr(text, 1, 80)", "text"))
+
+
+@pytest.mark.parametrize("name", ["rrf_fuse", "rrf_eval50"])
+def test_fusion_asks_with_whole_texts(spark, con, name):
+    same(QUERIES[name](spark, str(FOLDER)), con, ORACLE[name].replace("array_to_string(string_split(text, ' ')[1:8], ' ')", "text"))
