@@ -118,11 +118,14 @@ def job_durations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def job_states(spark: SparkSession, folder: str) -> DataFrame:
-    """Queued jobs after the changes that errors and views of the same container report."""
-    jobs = _jobs(spark, folder).where("status = 'queued'").groupBy("container_id").agg(F.min("id").alias("id")).withColumns({"status": F.lit("queued"), "started_at": F.lit(None).cast("timestamp"), "finished_at": F.lit(None).cast("timestamp"), "error": F.lit(None).cast("string")})
-    status = F.when(F.col("type") == "view", "running").when(F.col("type") == "signup", "sealed").otherwise("failed")
-    changes = _events(spark, folder).where("type in ('view', 'signup', 'error')").join(jobs.select("container_id", "id"), "container_id").where("event_id > id")
-    changes = changes.select("id", status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.lit(None).cast("string").alias("error"))
+    """All jobs after the changes that views, signups and errors report; a change is about its container's
+    latest job before it, and without one about none."""
+    jobs = _jobs(spark, folder).withColumn("error", F.lit(None).cast("string"))
+    status = F.when(F.col("type") == "view", "running").when(F.col("type") == "signup", "sealed").when(F.col("type") == "error", "failed")
+    so_far = Window.partitionBy("container_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    about = F.last(F.when(F.col("type") == "click", F.col("event_id")), ignorenulls=True).over(so_far)
+    changes = _events(spark, folder).where("type in ('click', 'view', 'signup', 'error')").select("type", about.alias("id"), F.col("ts").cast("timestamp").alias("at")).where("type <> 'click' and id is not null")
+    changes = changes.select("id", status.alias("status"), "at", F.lit(None).cast("string").alias("error"))
     return ingest.moved_on(jobs, changes).select("id", "container_id", "status")
 
 

@@ -54,3 +54,16 @@ def test_compact_takes_whole_texts(spark, con):
 @pytest.mark.parametrize("name", ["rrf_fuse", "rrf_eval50"])
 def test_fusion_asks_with_whole_texts(spark, con, name):
     same(QUERIES[name](spark, str(FOLDER)), con, ORACLE[name].replace("array_to_string(string_split(text, ' ')[1:8], ' ')", "text"))
+
+
+def test_job_states_of_all_jobs(spark, con):
+    rows = con.execute("SELECT event_id, ts, user_id, event_type, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) % 4 FROM events ORDER BY ts, event_id").fetchall()
+    latest, want = {}, {}
+    for event, _, user, kind, k in rows:
+        if kind == "click":
+            latest[user], want[event] = event, ("queued", "running", "sealed", "failed")[k]
+        elif kind in ("view", "signup", "error") and user in latest:
+            now, new = want[latest[user]], {"view": "running", "signup": "sealed", "error": "failed"}[kind]
+            if (now, new) in (("queued", "running"), ("running", "sealed"), ("running", "failed")):
+                want[latest[user]] = new
+    assert {r.id: r.status for r in QUERIES["job_states"](spark, str(FOLDER)).collect()} == want
