@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Letters of the longest lexicon words that are found by shortened forms; longer ones are found by length.
+LONG = 42
+
 
 def vocabulary(texts: DataFrame, text: Column, phrases: DataFrame | None = None) -> DataFrame:
     """(word, cnt): words of 2 to 40 letters; whole phrases of (phrase) count as well."""
@@ -28,13 +31,17 @@ def shortened(word: Column) -> Column:
 def corrected(words: DataFrame, lexicon: DataFrame, most: int = 2) -> DataFrame:
     """(word, corrected, distance) of the distinct words: known words and those with other signs than letters
     stay; others become the only lexicon word at the least distance of up to ``most``, if there is one.
-    Candidates meet by equal shortened forms, so no word meets the whole lexicon."""
+    Candidates meet by equal shortened forms, those of more than LONG letters, which have too many forms, by
+    lengths within ``most``; so no word meets the whole lexicon."""
     asked = words.where("word is not null").select("word").distinct()
     known = lexicon.select("word").distinct()
     unknown = asked.where(F.col("word").rlike(r"^\p{L}+$")).join(known, "word", "left_anti")
-    a = unknown.select("word", F.explode(shortened(F.col("word"))).alias("form"))
-    b = known.where(F.char_length("word") <= 42).select(F.col("word").alias("other"), F.explode(shortened(F.col("word"))).alias("form"))
+    size = F.char_length("word")
+    a = unknown.where(size <= LONG + most).select("word", F.explode(shortened(F.col("word"))).alias("form"))
+    b = known.where(size <= LONG).select(F.col("word").alias("other"), F.explode(shortened(F.col("word"))).alias("form"))
+    longer = unknown.where(size > LONG - most).select("word", F.explode(F.sequence(size - most, size + most)).alias("size"))
     pairs = a.join(b, "form").select("word", "other").distinct()
+    pairs = pairs.unionByName(longer.join(known.where(size > LONG).select(F.col("word").alias("other"), size.alias("size")), "size").select("word", "other"))
     pairs = pairs.withColumn("distance", F.levenshtein("word", "other", most)).where("distance >= 0")
     best = pairs.groupBy("word", "distance").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("other"))
     best = best.groupBy("word").agg(F.min_by(F.struct("n", "other", "distance"), "distance").alias("b"))

@@ -67,3 +67,13 @@ def test_job_states_of_all_jobs(spark, con):
             if (now, new) in (("queued", "running"), ("running", "sealed"), ("running", "failed")):
                 want[latest[user]] = new
     assert {r.id: r.status for r in QUERIES["job_states"](spark, str(FOLDER)).collect()} == want
+
+
+def test_long_words_are_corrected(spark):
+    from fathomline.operators import lexicon
+
+    a, b = "x" * 42, "y" * 60
+    known = spark.createDataFrame([(w,) for w in (a, a + "abc", b, "cat")], "word string")
+    asked = spark.createDataFrame([(w,) for w in (a + "ab", a + "abcde", b[:-2], b + "yyy", "y" * 5000, a + "a", "catt")], "word string")
+    got = {r.word: (r.corrected, r.distance) for r in lexicon.corrected(asked, known).collect()}
+    assert got == {a + "ab": (a + "abc", 1), a + "abcde": (a + "abc", 2), b[:-2]: (b, 2), b + "yyy": (b + "yyy", None), "y" * 5000: ("y" * 5000, None), a + "a": (a, 1), "catt": ("cat", 1)}
