@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.keys import col
+from fathomline.functions.text import COMPANY
+from fathomline.operators.rowwise import exploded, numbered_within
 
 WHITE = r"[ \t\n\r\f]"
 
@@ -15,68 +19,86 @@ def trimmed(text: Column | str) -> Column:
     return F.regexp_replace(col(text), rf"^{WHITE}+|{WHITE}+$", "")
 
 
-def paragraphs(docs: DataFrame, id_col: str, text: Column, least: int = 20) -> DataFrame:
-    """(id, line_from, line_to, text): runs of non-blank lines, joined and trimmed, longer than ``least``
-    characters; lines count from 1. A fold over the lines of a document, in its own row."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    start = F.struct(F.array().cast("array<struct<a:int,b:int,t:array<string>>>").alias("done"), F.lit(0).alias("n"), F.lit(0).alias("a"), F.array().cast("array<string>").alias("buf"))
+_WHITE = " \t\n\r\f"
+_TEXT = ("string", pa.string())
+_INT = ("int", pa.int32())
+
 
-    def closed(s: Column) -> Column:
-        para = F.struct(s["a"].alias("a"), s["n"].alias("b"), s["buf"].alias("t"))
-        return F.when(F.size(s["buf"]) > 0, F.concat(s["done"], F.array(para))).otherwise(s["done"])
+def cut_paragraphs(text: str | None, least: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of the runs of non-blank lines."""
+    out, run, first = [], [], 0
+    lines = (text or "").split("\n")
+    for n, line in enumerate([*lines, ""], 1):
+        if line.strip(_WHITE):
+            first = first if run else n
+            run.append(line)
+        elif run:
+            joined = "\n".join(run).strip(_WHITE)
+            if len(joined) > least:
+                out.append((first, n - 1, joined))
+            run = []
+    return out
 
-    def step(s: Column, line: Column) -> Column:
-        blank = trimmed(line) == ""
-        return F.struct(
-            F.when(blank, closed(s)).otherwise(s["done"]).alias("done"), (s["n"] + 1).alias("n"),
-            F.when(F.size(s["buf"]) == 0, s["n"] + 1).otherwise(s["a"]).alias("a"),
-            F.when(blank, F.array().cast("array<string>")).otherwise(F.concat(s["buf"], F.array(line))).alias("buf"),
-        )
 
-    found = F.aggregate(lines, start, step, lambda s: closed(s))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(found).alias("p"))
-    rows = rows.select("id", F.col("p.a").alias("line_from"), (F.col("p.a") + F.size("p.t") - 1).alias("line_to"), trimmed(F.array_join("p.t", "\n")).alias("text"))
-    return rows.where(F.char_length("text") > least)
+def paragraphs(docs: DataFrame, id_col: str, text: Column, least: int = 20) -> DataFrame:
+    """(id, line_from, line_to, text): runs of non-blank lines, joined and trimmed, longer than ``least``
+    characters; lines count from 1. Null texts have none. One pass over a document, in its own row."""
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
+    return exploded(rows, ["id"], ["t"], {"line_from": _INT, "line_to": _INT, "text": _TEXT}, lambda t: cut_paragraphs(t, least))
+
+
+def join_blocks(blocks: list[str] | None, size: int, least: int) -> list[tuple[int, str]]:
+    """(number of the first block, text) of blocks joined until ``size`` is reached."""
+    out, held, length, first = [], [], 0, 0
+    for n, block in enumerate([*(blocks or []), None]):
+        if block is not None:
+            if not length:
+                held, first = [], n
+            length += len(block or "") + (2 if length else 0)
+            held.append(block or "")
+        if length >= size or (block is None and length):
+            joined = "\n\n".join(held).strip(_WHITE)
+            if len(joined) >= least:
+                out.append((first, joined))
+            held, length = [], 0
+    return out
 
 
 def greedy(docs: DataFrame, id_col: str, blocks: Column, size: int = 900, least: int = 120, most: int = 1400) -> DataFrame:
     """(id, seq, text_id, text): blocks joined by empty lines until ``size`` is reached. Chunks whose
     trimmed length is below ``least`` drop out, longer ones are cut at ``most``; ``text_id`` is the hash
-    before the cut, ``seq`` the number of the first block."""
-    start = F.struct(F.array().cast("array<struct<seq:int,t:string>>").alias("done"), F.lit(0).alias("n"), F.lit(0).alias("seq"), F.lit("").alias("buf"))
-
-    def step(s: Column, block: Column) -> Column:
-        first = s["buf"] == ""
-        buf = F.when(first, block).otherwise(F.concat(s["buf"], F.lit("\n\n"), block))
-        seq = F.when(first, s["n"]).otherwise(s["seq"])
-        full = F.char_length(buf) >= size
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(F.struct(seq.alias("seq"), buf.alias("t"))))).otherwise(s["done"]).alias("done"),
-            (s["n"] + 1).alias("n"), seq.alias("seq"), F.when(full, F.lit("")).otherwise(buf).alias("buf"),
-        )
-
-    found = F.aggregate(blocks, start, step, lambda s: F.concat(s["done"], F.array(F.struct(s["seq"].alias("seq"), s["buf"].alias("t")))))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(found).alias("c")).select("id", "c.seq", trimmed("c.t").alias("t"))
-    rows = rows.where(F.char_length("t") >= least)
+    before the cut, ``seq`` the number of the first block. Null arrays have none, null blocks are empty."""
+    rows = docs.select(F.col(id_col).alias("id"), blocks.alias("b"))
+    rows = exploded(rows, ["id"], ["b"], {"seq": _INT, "t": _TEXT}, lambda b: join_blocks(b, size, least))
     return rows.select("id", "seq", F.substring(F.sha2("t", 256), 1, 16).alias("text_id"), F.substring("t", 1, most).alias("text"))
 
 
+def cut_windows(text: str | None, prefix: str | None, size: int) -> list[tuple[int, str]]:
+    """(number, text) of the windows of a text's words; the end of each is found in prefix sums of their lengths."""
+    if text is None:
+        return []
+    prefix = prefix or ""
+    if len(prefix) + len(text) <= size:
+        return [(0, prefix + text)]
+    words = text.split(" ")
+    ends = np.cumsum([len(w) + 1 for w in words])
+    out, at = [], 0
+    while at < len(words):
+        if not words[at]:
+            at += 1
+            continue
+        start = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, start + 1 + size - len(prefix), "right")))
+        out.append((len(out), prefix + " ".join(words[at:stop])))
+        at = stop
+    return out
+
+
 def word_windows(docs: DataFrame, id_col: str, text: Column, prefix: Column, size: int = 480) -> DataFrame:
     """(id, win, text): the prefix and as many words as ``size`` allows; each window begins with the
     prefix as it is, and a word that is too long has a window of its own. Null texts have none."""
-    words = F.split(text, " ")
-    pre = F.coalesce(prefix, F.lit(""))
-    start = F.struct(F.array().cast("array<string>").alias("done"), pre.alias("buf"))
-
-    def step(s: Column, word: Column) -> Column:
-        over = (F.char_length(s["buf"]) + F.char_length(word) + 1 > size) & (s["buf"] != pre)
-        base = F.when(over, pre).otherwise(s["buf"])
-        return F.struct(F.when(over, F.concat(s["done"], F.array(s["buf"]))).otherwise(s["done"]).alias("done"), F.concat(base, F.when(base == pre, "").otherwise(" "), word).alias("buf"))
-
-    found = F.when(F.char_length(pre) + F.char_length(text) <= size, F.array(F.concat(pre, text))).otherwise(
-        F.aggregate(words, start, step, lambda s: F.when(s["buf"] != pre, F.concat(s["done"], F.array(s["buf"]))).otherwise(s["done"]))
-    )
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(found).alias("win", "text"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), prefix.alias("p"))
+    return exploded(rows, ["id"], ["t", "p"], {"win": _INT, "text": _TEXT}, lambda t, p: cut_windows(t, p, size))
 
 
 def char_windows(docs: DataFrame, id_col: str, text: Column, size: int = 480, step: int = 460) -> DataFrame:
@@ -93,13 +115,19 @@ def keep_row(text: Column, lite: bool = False) -> Column:
     return F.coalesce(F.contains(text, F.lit(" | ")) | (F.char_length(text) >= 25) | amount, F.lit(False))
 
 
-def numbered_rows(rows: DataFrame, doc: str, order: str, text: str, least: int = 20, most: int = 1400) -> DataFrame:
-    """(doc, order, seq, text): kept rows of at least ``least`` characters, the first of equal texts in a
-    document, cut and numbered from 0 in the document."""
-    kept = rows.withColumn(text, trimmed(text)).where(keep_row(F.col(text)) & (F.char_length(text) >= least))
-    firsts = kept.groupBy(doc, text).agg(F.min(order).alias(order))
-    seq = F.row_number().over(Window.partitionBy(doc).orderBy(order)) - 1
-    return firsts.select(doc, order, seq.alias("seq"), F.substring(text, 1, most).alias(text))
+def first_rows(rows: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """(doc, order, text): the rows that are kept, trimmed, the first of equal texts in a document."""
+    kept = rows.withColumn(text, trimmed(text)).where(keep_row(F.col(text)))
+    return kept.groupBy(doc, text).agg(F.min(order).alias(order)).select(doc, order, text)
+
+
+def numbered(chunks: DataFrame, doc: str, order: list[str], text: str, least: int = 20, most: int = 1400) -> DataFrame:
+    """(doc, *order, seq, text_id, text): chunks whose trimmed text has ``least`` characters, numbered from 0
+    in their document, cut at ``most``; ``text_id`` is the hash before the cut. The first of ``order`` is a
+    whole number; documents are numbered over slices of it."""
+    rows = chunks.select(doc, *order, trimmed(text).alias(text)).where(F.char_length(text) >= least)
+    rows = numbered_within(rows, [doc], order, F.floor(F.col(order[0]) / 65_536), "seq")
+    return rows.select(doc, *order, "seq", F.substring(F.sha2(text, 256), 1, 16).alias("text_id"), F.substring(text, 1, most).alias(text))
 
 
 def first_by_content(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -110,11 +138,8 @@ def first_by_content(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
 
 
 def header_prefix(text: Column) -> Column:
-    """The first company name of a first page with white space collapsed, else its first line of more
-    than 8 characters."""
-    from fathomline.functions.text import COMPANY
-
-    flat = F.regexp_replace(text, r"\s+", " ")
-    name = F.nullif(F.regexp_extract(flat, COMPANY, 0), F.lit(""))
+    """The first company name of a first page, white space collapsed, else its first line of more than 8
+    characters, else ''; null texts have ''."""
+    name = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, COMPANY, 0), r"\s+", " ")), F.lit(""))
     line = F.get(F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: F.char_length(x) > 8), F.lit(0))
-    return F.coalesce(name, line)
+    return F.coalesce(name, line, F.lit(""))

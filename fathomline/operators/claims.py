@@ -14,6 +14,8 @@ from fathomline.functions.text import MONEY, ROW_LABEL, compact, digits, is_mone
 
 BAND, RIGHT = 14, 60
 LINES = "doc string, page int, line_seq int, text string, x double, y double, x2 double"
+# Words of a claim's text.
+UNKNOWN, SECTION, ROW = "Arbeitgeber unbekannt", "Anlage", "Zeile"
 VALUES = "doc string, code string, raw string, page int, y double"
 
 
@@ -143,10 +145,17 @@ def validated(values: DataFrame, catalog: DataFrame) -> DataFrame:
     return values.join(F.broadcast(catalog), "code", "left").withColumn("valid", valid).drop("enum")  # catalog: a row per form field
 
 
-def claim_texts(values: DataFrame, labels: DataFrame, title: str) -> DataFrame:
-    """Claims as text: employer, form and year, label and code, amount. Codes without a label drop out."""
-    text = F.concat_ws(" | ", F.coalesce("employer", F.lit("(unnamed)")), F.concat(F.lit(title + " "), "year"), F.concat("label", F.lit(" ("), "code", F.lit(")")), F.concat("value", F.lit(" EUR")))
-    return values.join(F.broadcast(labels), "code").withColumn("text", text)  # labels: a row per code
+def claim_texts(values: DataFrame, labels: DataFrame, title: str, fields: DataFrame | None = None) -> DataFrame:
+    """values (employer, year, code, value) with their label, ``text`` and ``id``, the text's hash: employer,
+    form and year, label and code, section and row where the field catalog ``fields`` (code, section, row)
+    has a section, and the amount. Codes without a label drop out; no employer is 'unknown'."""
+    rows = values.join(F.broadcast(labels), "code")  # labels: a row per code
+    place = F.lit("")
+    if fields is not None:
+        rows = rows.join(F.broadcast(fields.select("code", "section", "row")), "code", "left")  # fields: a row per form field
+        place = F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(f" · {SECTION} "), "section", F.lit(f" {ROW} "), F.coalesce(F.col("row").cast("string"), F.lit("")))).otherwise("")
+    text = F.concat(F.coalesce("employer", F.lit(UNKNOWN)), F.lit(f" — {title} "), "year", F.lit(" — "), "label", F.lit(" ("), "code", F.lit(")"), place, F.lit(": "), F.coalesce("value", F.lit("")), F.lit(" EUR"))
+    return rows.withColumn("text", text).withColumn("id", F.substring(F.sha1("text"), 1, 16))
 
 
 def below_anchor(lines: DataFrame, anchor: Column, skip: Column) -> DataFrame:
@@ -154,4 +163,4 @@ def below_anchor(lines: DataFrame, anchor: Column, skip: Column) -> DataFrame:
     marks = lines.where(anchor).select("doc", "page", "line_seq", F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.sequence(F.floor(F.col("y") / 130), F.floor(F.col("y") / 130) + 1)).alias("strip"))
     others = lines.where(~skip).select("doc", "page", "text", "x", "y", F.col("line_seq").alias("s"), F.floor(F.col("y") / 130).alias("strip"))
     near = marks.join(others, ["doc", "page", "strip"]).where((F.col("y") > F.col("ay")) & (F.col("y") <= F.col("ay") + 130) & (F.abs(F.col("x") - F.col("ax")) < 260))
-    return near.groupBy("doc", "page", "line_seq").agg(F.min_by("text", F.struct("y", "s")).alias("found"))
+    return near.groupBy("doc", "page", "line_seq").agg(F.min_by("text", F.struct("y", "x", "s")).alias("found"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import clean_employer, is_money, number_in_name, row_label
+from fathomline.functions.text import COMPANY, PLACE, clean_employer, is_money, number_in_name, row_label
 from fathomline.operators import chunk, claims, layout
 
 # The anchors of an employer's name, and words that begin other lines of the form.
 NAME_ANCHOR = "Name des Arbeitgebers"
 BELOW_ANCHOR = r"Anschrift.*Arbeitgebers|Arbeitgeber\s*/\s*Lohnsteuer"
 OTHER_LINES = "^(firma|herr|frau|name|steuernummer|anschrift|arbeitgeber)"
-ADDRESS = r"^(.{3,60}?)\s*[/,]\s*(Postfach|[0-9]{5}|[A-ZÄÖÜ][a-zäöü]+str)"
-FIRM = r"([A-ZÄÖÜ][\w.&ÄÖÜäöüß-]*(?:\s+[A-ZÄÖÜ&][\w.&ÄÖÜäöüß-]*){0,5}\s+(?:GmbH(?:\s*&\s*Co\.?\s*KG)?|OHG|AG|KG|UG|e\.V\.|BV|SE))"
+HEADER_TITLE = "Datenblatt SNR"
 HEAD = 480
+#: As PLACE, or before a street.
+PLACE_OR_STREET = PLACE.replace("(?=", "(?=[A-ZÄÖÜ][a-zäöü]+str|")
 
 
 def visible(glyphs: DataFrame) -> DataFrame:
@@ -36,17 +37,16 @@ def word_starts(glyphs: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.groupBy("doc", "page", "seq").agg(F.max_by("wpos", "word_seq").alias("wpos"))
 
 
-def row_chunks(glyphs: DataFrame, files: DataFrame) -> DataFrame:
-    """(doc, seq, text): per document a header row with its number and prefix, and its table rows that are
+def row_chunks(glyphs: DataFrame, files: DataFrame, title: str = HEADER_TITLE) -> DataFrame:
+    """(doc, at, win, text), in the order of (at, win): per document a header row with its number and prefix, and its table rows that are
     kept, the first of equal ones, cut into word windows that begin with the prefix. files(doc, source,
     prefix); documents without glyphs have the header alone."""
     pre = F.when(F.coalesce("prefix", F.lit("")) != "", F.concat("prefix", F.lit(" — "))).otherwise("")
-    head = files.select("doc", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("win"), F.concat(F.lit("Document "), number_in_name("source"), F.when(F.coalesce("prefix", F.lit("")) != "", F.concat(F.lit(" · "), "prefix")).otherwise("")).alias("text"))
+    head = files.select("doc", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("win"), F.concat(F.lit(title + " "), number_in_name("source"), F.when(F.coalesce("prefix", F.lit("")) != "", F.concat(F.lit(" · "), "prefix")).otherwise("")).alias("text"))
     rows = layout.table_rows(glyphs).withColumn("at", F.col("page").cast("long") * 100_000 + F.col("band")).where(chunk.keep_row(F.col("text")))
     rows = rows.groupBy("doc", "text").agg(F.min("at").alias("at")).join(files.select("doc", pre.alias("pre")), "doc")
     cut = chunk.word_windows(rows.withColumn("key", F.struct("doc", "at")), "key", F.col("text"), F.col("pre")).select("id.doc", "id.at", "win", "text")
-    order = Window.partitionBy("doc").orderBy("at", "win")
-    return head.unionByName(cut).withColumn("seq", F.row_number().over(order) - 1).select("doc", "seq", "text")
+    return head.unionByName(cut).select("doc", "at", "win", "text")
 
 
 def table_witness(rows: DataFrame, codes: DataFrame) -> DataFrame:
@@ -58,22 +58,35 @@ def table_witness(rows: DataFrame, codes: DataFrame) -> DataFrame:
     return found.groupBy("doc", "code").agg(F.min(F.struct("page", "y", "raw")).alias("v")).select("doc", "code", "v.raw", "v.page", "v.y")
 
 
+def first_company(lines: DataFrame, span: int = 9) -> DataFrame:
+    """(doc, firm): the first company name in a document's lines, which may run over lines that follow each
+    other. Each line is read with the ``span`` - 1 non-blank ones after it, more than a name can have words,
+    and has the name that begins in it; so no document's text is put together."""
+    order = Window.partitionBy("doc").orderBy("page", "line_seq")
+    rows = lines.where(F.trim("text") != "")
+    ahead = rows.withColumn("block", F.concat_ws("\n", "text", *(F.lead("text", k).over(order) for k in range(1, span))))
+    starts = F.regexp_instr("block", F.lit(COMPANY))
+    rows = ahead.where((starts > 0) & (starts <= F.char_length("text"))).select("doc", F.struct("page", "line_seq").alias("o"), F.regexp_extract("block", COMPANY, 0).alias("firm"))
+    return rows.groupBy("doc").agg(F.min_by("firm", "o").alias("firm"))
+
+
 def employers(lines: DataFrame) -> DataFrame:
-    """(doc, employer): the name on its own labelled line, else the line below the address anchor, else the
-    first name of an address in the head of page 1, else the first company; null if there is none."""
+    """(doc, employer): what follows the name anchor on its line, or the line below an address anchor,
+    whichever is first; else the first name before an address in the head of page 1, else the first
+    company; null if there is none, or if the one found is no name."""
     text = F.trim("text")
     sane = (F.char_length(text) >= 3) & ~text.rlike("^[0-9]") & ~F.lower(text).rlike(OTHER_LINES)
     order = F.struct("page", "y", "x", "line_seq")
-    after = F.regexp_replace(F.substring_index("text", NAME_ANCHOR, -1), r"^[ |:]+|[ |:]+$", "")
-    named = lines.where(F.contains("text", F.lit(NAME_ANCHOR)) & (F.char_length(after) > 3)).select("doc", order.alias("o"), after.alias("name"))
+    after = F.btrim(F.get(F.split("text", NAME_ANCHOR, 2), F.lit(1)), F.lit(" |:"))
+    named = lines.where(F.char_length(after) > 3).select("doc", order.alias("o"), F.lit(0).alias("turn"), after.alias("name"))
     below = claims.below_anchor(lines.where("text is not null"), F.col("text").rlike(BELOW_ANCHOR), ~sane)
-    below = below.join(lines.select("doc", "page", "line_seq", order.alias("o")), ["doc", "page", "line_seq"]).select("doc", "o", F.trim("found").alias("name"))
-    first = named.unionByName(below).groupBy("doc").agg(F.min_by("name", "o").alias("anchored"))
-    address = F.regexp_extract(text, ADDRESS, 1)
-    head = lines.where((F.col("page") == 1) & (F.col("y") < HEAD) & (address != "") & ~F.lower(address).rlike(OTHER_LINES)).groupBy("doc").agg(F.min_by(address, order).alias("head"))
-    firm = F.regexp_extract("text", FIRM, 1)
-    firms = lines.where(firm != "").groupBy("doc").agg(F.min_by(firm, order).alias("firm"))
-    rows = lines.select("doc").distinct().join(first, "doc", "left").join(head, "doc", "left").join(firms, "doc", "left")
+    below = below.join(lines.select("doc", "page", "line_seq", order.alias("o")), ["doc", "page", "line_seq"]).select("doc", "o", F.lit(1).alias("turn"), F.trim("found").alias("name"))
+    first = named.unionByName(below).groupBy("doc").agg(F.min_by("name", F.struct("o", "turn")).alias("anchored"))
+    cut = F.split(F.substring(text, 4, 1 << 30), PLACE_OR_STREET, 2)  # a name has 3 characters or more
+    address = F.concat(F.substring(text, 1, 3), cut[0])
+    named_head = (F.size(cut) == 2) & F.char_length(address).between(3, 60) & ~F.lower(address).rlike(OTHER_LINES)
+    head = lines.where((F.col("page") == 1) & (F.col("y") < HEAD) & named_head).groupBy("doc").agg(F.min_by(address, order).alias("head"))
+    rows = lines.select("doc").distinct().join(first, "doc", "left").join(head, "doc", "left").join(first_company(lines), "doc", "left")
     return rows.select("doc", clean_employer(F.coalesce("anchored", "head", "firm")).alias("employer"))
 
 

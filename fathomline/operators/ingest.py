@@ -30,12 +30,14 @@ def valid_container(c: Column) -> Column:
 
 def decided(events: DataFrame, state: DataFrame, jobs: DataFrame, own_author: str) -> DataFrame:
     """(event_id, container_id, source_key, decision) of the pushes among events(event_id, ts, type,
-    container_id): one event per container is decided, its latest; earlier ones are 'superseded'."""
+    container_id), as they arrive by time: where a container's first push is enqueued, its later ones find
+    that job active."""
     pushes = events.where("type = 'git.push' and container_id is not null")
     active = jobs.where(F.col("status").isin(*ACTIVE)).select("container_id").distinct().withColumn("active", F.lit(True))
-    last = pushes.groupBy("container_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
-    rows = pushes.join(last, "container_id").join(state, "container_id", "left").join(active, "container_id", "left")
-    what = F.when(~valid_container(F.col("container_id")), "bad-id").when(F.col("event_id") != F.col("last"), "superseded").otherwise(decision(own_author))
+    first = pushes.groupBy("container_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first"))
+    rows = pushes.join(first, "container_id").join(state, "container_id", "left").join(active, "container_id", "left")
+    base = F.when(~valid_container(F.col("container_id")), "bad-id").otherwise(decision(own_author))
+    what = F.when((base == "enqueue") & (F.col("event_id") != F.col("first")), "active-job-exists").otherwise(base)
     return rows.select("event_id", "container_id", "source_key", what.alias("decision"))
 
 

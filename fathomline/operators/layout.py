@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ["doc", "page"]
+STRIP = 32
 
 
 def sized(glyphs: DataFrame) -> DataFrame:
@@ -30,12 +31,14 @@ def y_bands(glyphs: DataFrame) -> DataFrame:
 
 
 def in_bands(glyphs: DataFrame) -> DataFrame:
-    """glyphs with the first band that holds their centre, two units of slack on either side."""
-    bands = y_bands(glyphs)
+    """glyphs with the first band that holds their centre, two units of slack on either side. Joined on the
+    page and a strip of height, so that a glyph meets the few bands near it."""
+    strip = lambda c: F.floor(c / STRIP)
+    bands = y_bands(glyphs).withColumn("strip", F.explode(F.sequence(strip(F.col("top") - 2), strip(F.col("bottom") + 2))))
     centre = F.col("y") + F.col("h") / 2
-    pairs = glyphs.join(bands, PAGE).where((centre >= F.col("top") - 2) & (centre <= F.col("bottom") + 2))
+    pairs = glyphs.withColumn("strip", strip(centre)).join(bands, [*PAGE, "strip"]).where((centre >= F.col("top") - 2) & (centre <= F.col("bottom") + 2))
     first = Window.partitionBy(*PAGE, "seq").orderBy("band")
-    return pairs.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    return pairs.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "strip")
 
 
 def x_segments(banded: DataFrame) -> DataFrame:
@@ -65,11 +68,16 @@ def columns(segments: DataFrame) -> DataFrame:
 
 
 def cells(segments: DataFrame, cols: DataFrame) -> DataFrame:
-    """(doc, page, band, col, text): segments by the column of their start; within one, visual lines (a
-    new one after 0.45 of the smaller height) and then x; a blank where the gap is over 0.55 widths or
-    ``wpos`` is 0."""
-    line = F.round((F.col("y") + F.col("h") / 2) / (0.7 * F.col("mh"))).cast("int")
-    rows = segments.withColumn("g", line)
+    """(doc, page, band, col, text, ncols, top): segments by the column of their start; within one, visual
+    lines (a new one after 0.45 of the smaller height) and then x; a blank where the gap is over 0.55
+    widths or ``wpos`` is 0. What stands together is a line of the text layer (columns ``block`` and
+    ``line``, if there are any and the line isn't null), else a grid of 0.7 median heights."""
+    grid = F.struct(F.lit(1).alias("k"), F.lit(0).cast("long").alias("a"), F.round((F.col("y") + F.col("h") / 2) / (0.7 * F.col("mh"))).cast("long").alias("b"))
+    group = grid
+    if {"block", "line"} <= set(segments.columns):
+        own = F.struct(F.lit(0).alias("k"), F.coalesce(F.col("block").cast("long"), F.lit(-1)).alias("a"), F.col("line").cast("long").alias("b"))
+        group = F.when(F.col("line").isNotNull(), own).otherwise(grid)
+    rows = segments.withColumn("g", group)
     groups = rows.groupBy(*PAGE, "band", "seg", "g").agg(F.avg(F.col("y") + F.col("h") / 2).alias("yc"), F.percentile("h", F.lit(0.5)).alias("gh"), F.min("x").alias("x0"))
     order = Window.partitionBy(*PAGE, "band", "seg").orderBy("yc", "g")
     apart = F.col("yc") - F.lag("yc").over(order) > 0.45 * F.least("gh", F.lag("gh").over(order))
@@ -80,23 +88,25 @@ def cells(segments: DataFrame, cols: DataFrame) -> DataFrame:
     blank = F.lag("x").over(within).isNull() | (F.coalesce("wpos", F.lit(1)) == 0) | (gap > 0.55 * F.col("mw"))
     rows = rows.withColumn("piece", F.concat(F.when(blank, " ").otherwise(""), "label"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("vline", "gx", "g", "x", "seq", "piece"))), lambda p: p["piece"])
-    segs = rows.groupBy(*PAGE, "band", "seg").agg(F.trim(F.array_join(ordered, "")).alias("text"), F.min("x").alias("x0"))
+    segs = rows.groupBy(*PAGE, "band", "seg").agg(F.trim(F.array_join(ordered, "")).alias("text"), F.min("x").alias("x0"), F.first("top").alias("top"))
     segs = segs.join(cols, PAGE)
     bounds = F.transform(F.sequence(F.lit(1), F.size("centers")), lambda i: F.when(i < F.size("centers"), (F.get("centers", i - 1) + F.get("centers", i)) / 2).otherwise(F.lit(float("inf"))))
     segs = segs.withColumn("col", F.size(F.filter(bounds, lambda b: F.col("x0") >= b)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda s: s["text"]), " ")
-    return segs.groupBy(*PAGE, "band", "col").agg(joined.alias("text"))
+    return segs.groupBy(*PAGE, "band", "col").agg(joined.alias("text"), F.first(F.size("centers")).alias("ncols"), F.first("top").alias("top"))
 
 
 def table_rows(glyphs: DataFrame) -> DataFrame:
-    """(doc, page, band, full, text): rows as texts, non-empty cells joined by spaced pipes; ``full`` marks
-    a row whose only cell is the first column's and longer than 40 characters."""
+    """(doc, page, band, y, full, cells, text): rows with the text of each column's cell ('' for none), and
+    as one text of the non-empty cells joined by spaced pipes; ``full`` marks a row whose only cell is the
+    first column's and longer than 40 characters, ``y`` is where its band begins."""
     segments = x_segments(in_bands(sized(glyphs)))
     found = cells(segments, columns(segments)).where("text <> ''")
     ordered = F.array_sort(F.collect_list(F.struct("col", "text")))
-    rows = found.groupBy(*PAGE, "band").agg(ordered.alias("cs"))
+    rows = found.groupBy(*PAGE, "band").agg(ordered.alias("cs"), F.first("ncols").alias("ncols"), F.first("top").cast("int").alias("y"))
     full = (F.size("cs") == 1) & (F.get("cs", F.lit(0))["col"] == 0) & (F.char_length(F.get("cs", F.lit(0))["text"]) > 40)
-    return rows.select(*PAGE, "band", full.alias("full"), F.array_join(F.transform("cs", lambda c: c["text"]), " | ").alias("text"))
+    of_column = F.transform(F.sequence(F.lit(0), F.col("ncols") - 1), lambda c: F.coalesce(F.get(F.filter("cs", lambda x: x["col"] == c), F.lit(0))["text"], F.lit("")))
+    return rows.select(*PAGE, "band", "y", full.alias("full"), of_column.alias("cells"), F.array_join(F.transform("cs", lambda c: c["text"]), " | ").alias("text"))
 
 
 def raised(glyphs: DataFrame) -> DataFrame:

@@ -109,8 +109,10 @@ def claim_validate(spark: SparkSession, folder: str) -> DataFrame:
 
 def claim_texts(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.createDataFrame([(c, f"Zeile {n}") for n, c in CODES.items()], "code string, label string")
-    values = table(spark, folder, "claims_in").select("row_id", F.col("attribute").alias("code"), "value", F.regexp_extract("subject", "^([^ ]+)", 1).alias("employer"), F.lit("2024").alias("year"))
-    return claims.claim_texts(values, labels, "Bescheinigung").select("row_id", "text")
+    fields = spark.createDataFrame([(c, "N" if n % 2 else "", n) for n, c in CODES.items()], "code string, section string, row int")
+    employer = F.nullif(F.regexp_extract("subject", "^([^ ]+)", 1), F.lit(""))
+    values = table(spark, folder, "claims_in").select("row_id", F.col("attribute").alias("code"), "value", employer.alias("employer"), F.lit("2024").alias("year"))
+    return claims.claim_texts(values, labels, "Bescheinigung", fields).select("row_id", "id", "text")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -157,5 +159,6 @@ SELECT doc, code, value, CAST(page AS INT) AS page, count(*) AS witnesses, strin
     "claim_validate": f"""SELECT row_id, attribute AS code, CASE WHEN attribute IN {CURRENCY} THEN 'currency' WHEN attribute = 'Zahl der Arbeitstage' THEN 'enum' END AS datentyp,
   CASE WHEN attribute = 'Zahl der Arbeitstage' THEN trim(value) IN {tuple(DAYS)} OR regexp_replace(value, '[^0-9]', '', 'g') IN {tuple(DAYS)}
        WHEN attribute IN {CURRENCY} THEN coalesce(regexp_matches(trim(value), '^([0-9]{{1,3}}([.][0-9]{{3}})+|[0-9]{{1,5}}),[0-9]{{2}}$'), false) END AS valid FROM claims_in""",
-    "claim_texts": f"WITH codes(number, code) AS (VALUES {_CODES}) SELECT row_id, concat_ws(' | ', regexp_extract(subject, '^([^ ]+)', 1), 'Bescheinigung 2024', 'Zeile ' || number || ' (' || code || ')', value || ' EUR') AS text FROM claims_in JOIN codes ON attribute = code",
+    "claim_texts": f"""WITH codes(number, code) AS (VALUES {_CODES}), t AS (SELECT row_id, coalesce(nullif(regexp_extract(subject, '^([^ ]+)', 1), ''), 'Arbeitgeber unbekannt') || ' — Bescheinigung 2024 — Zeile ' || number || ' (' || code || ')'
+  || CASE WHEN number % 2 = 1 THEN ' · Anlage N Zeile ' || number ELSE '' END || ': ' || coalesce(value, '') || ' EUR' AS text FROM claims_in JOIN codes ON attribute = code) SELECT row_id, substr(sha1(text), 1, 16) AS id, text FROM t""",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.operators import documents
-from fathomline.queries.layouts import CODES, _codes, _from_text, _glyphs, _lines
+from fathomline.functions.text import COMPANY
+from fathomline.operators import chunk, documents
+from fathomline.queries.layouts import CODES, _codes, _from_text, _glyphs
 from fathomline.session import table
 
 
@@ -24,7 +25,8 @@ def word_starts(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_row_chunks(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "fulltext").where("doc is not null").groupBy("doc").agg(F.min(F.substring_index("text", " ", 1)).alias("prefix"))
-    return documents.row_chunks(_glyphs(spark, folder), names.withColumn("source", F.concat(F.lit("in/x_"), "doc", F.lit(".pdf"))))
+    cut = documents.row_chunks(_glyphs(spark, folder), names.withColumn("source", F.concat(F.lit("in/x_"), "doc", F.lit("-1.pdf"))))
+    return chunk.numbered(cut, "doc", ["at", "win"], "text").select("doc", "seq", "text_id", "text")
 
 
 def table_witness(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,8 +39,13 @@ def table_witness(spark: SparkSession, folder: str) -> DataFrame:
 
 def employer_names(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "fulltext").where("text is not null").select(F.concat_ws("#", "doc", "row_id").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_seq", "text"))
-    made = F.when(F.col("line_seq") == 0, F.concat(F.lit("Name des Arbeitgebers: "), "text")).otherwise(F.col("text"))
-    return documents.employers(lines.select("doc", "page", "line_seq", made.alias("text"), F.lit(0.0).alias("x"), (F.col("line_seq") * 20.0).alias("y")))
+    """Documents by turns with a labelled name, an address anchor above, an address as the first line, or none."""
+    turn = F.substring_index("doc", "#", -1).cast("long") % 4
+    first = F.col("line_seq") == 0
+    made = F.when(first & (turn == 0), F.concat(F.lit("Name des Arbeitgebers: "), "text")).when(first & (turn == 2), F.concat("text", F.lit(" / 51373 Ort"))).otherwise(F.col("text"))
+    anchors = lines.where(first & (turn == 1)).select("doc", "page", F.lit(-1).alias("line_seq"), F.lit("Anschrift des Arbeitgebers").alias("text"))
+    lines = lines.select("doc", "page", "line_seq", made.alias("text")).unionByName(anchors)
+    return documents.employers(lines.select("doc", "page", "line_seq", "text", F.lit(0.0).alias("x"), (F.col("line_seq") * 20.0).alias("y")))
 
 
 def container_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,11 +56,7 @@ def name_order(spark: SparkSession, folder: str) -> DataFrame:
     return documents.by_name(table(spark, folder, "nation").select("n_name"), F.col("n_name"))
 
 
-def first_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).where("line_seq <= 3").select("doc", "page", "line_seq", "text")
-
-
-QUERIES = {f.__name__: f for f in (visible_glyphs, word_starts, document_row_chunks, table_witness, employer_names, container_summary, name_order, first_lines)}
+QUERIES = {f.__name__: f for f in (visible_glyphs, word_starts, document_row_chunks, table_witness, employer_names, container_summary, name_order)}
 
 _G = "g AS (SELECT doc, page, min(row_id) AS seq, x0 AS x, y0 AS y, round(x1 - x0, 3) AS w, round(y1 - y0, 3) AS h, text FROM boxes WHERE doc IS NOT NULL GROUP BY doc, page, text, x0, y0, x1, y1)"
 _CASE = " ".join(f"WHEN '{c}' THEN '{n}. {c}'" for n, c in CODES.items())
@@ -64,12 +67,14 @@ ORACLE = {
     "table_witness": rf"""WITH l AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS y FROM fulltext WHERE text IS NOT NULL),
 m AS (SELECT doc, y, CASE regexp_extract(line, '^([^:]+): ', 1) {_CASE} END AS lab, regexp_extract(line, '([0-9.]+,[0-9]{{2}})', 1) AS raw FROM l)
 SELECT doc, substr(lab, 4) AS code, raw, 1 AS page, CAST(y AS INT) AS y FROM (SELECT *, row_number() OVER (PARTITION BY doc, lab ORDER BY y, raw) AS k FROM m WHERE lab IS NOT NULL AND regexp_matches(raw, '^([0-9]{{1,3}}([.][0-9]{{3}})+|[0-9]{{1,5}}),[0-9]{{2}}$')) WHERE k = 1""",
-    "employer_names": r"""WITH t AS (SELECT doc, row_id, regexp_replace(string_split(text, chr(10))[1], '^[ |:]+|[ |:]+$', '', 'g') AS n FROM fulltext WHERE text IS NOT NULL)
-SELECT concat_ws('#', doc, row_id) AS doc, CASE WHEN length(e) >= 3 THEN e END AS employer FROM (SELECT doc, row_id, substr(regexp_replace(regexp_replace(n, '(?s)(Postfach|\b[0-9]{5}\b).*$', ''), '^[\s,;:|-]+|[\s,;:|-]+$', '', 'g'), 1, 60) AS e FROM t)""",
+    "employer_names": rf"""WITH t AS (SELECT doc, row_id, string_split(text, chr(10)) AS ls, trim(string_split(text, chr(10))[1], ' |:') AS n, nullif(regexp_extract(text, '{COMPANY}'), '') AS firm FROM fulltext WHERE text IS NOT NULL),
+a AS (SELECT *, CASE row_id % 4 WHEN 0 THEN CASE WHEN length(n) > 3 THEN n END WHEN 1 THEN list_filter(ls[1:6], lambda x: length(trim(x)) >= 3 AND NOT regexp_matches(trim(x), '^[0-9]') AND NOT regexp_matches(lower(trim(x)), '^(firma|herr|frau|name|steuernummer|anschrift|arbeitgeber)'))[1] END AS anchored,
+  CASE WHEN row_id % 4 = 2 AND length(trim(ls[1])) BETWEEN 3 AND 60 AND NOT regexp_matches(lower(trim(ls[1])), '^(firma|herr|frau|name|steuernummer|anschrift|arbeitgeber)') THEN ls[1] END AS head FROM t),
+e AS (SELECT doc, row_id, trim(regexp_replace(coalesce(trim(anchored), head, firm), '(?s)\s*[/,]\s*(Postfach|[0-9]{{5}}).*$', ''), ' /,-|') AS e FROM a)
+SELECT concat_ws('#', doc, row_id) AS doc, CASE WHEN length(e) >= 3 THEN substr(e, 1, 60) END AS employer FROM e""",
     "container_summary": r"""WITH d AS (SELECT doc, max(CAST(trim(coalesce(text, '')) <> '' AS INT)) AS r FROM fulltext GROUP BY doc),
 l AS (SELECT doc, unnest(string_split(text, chr(10))) AS line FROM fulltext WHERE text IS NOT NULL),
 v AS (SELECT DISTINCT doc, regexp_extract(line, '^([^:]+): ', 1) AS code FROM l WHERE regexp_matches(line, ': ([0-9][0-9.]*,[0-9]{2})'))
 SELECT (SELECT count(*) FROM d) AS docs, (SELECT count(*) FROM d WHERE r = 0) AS scans, (SELECT count(*) FROM v WHERE code IN CODES_) AS claims, (SELECT count(DISTINCT doc) FROM v WHERE code = 'Rechnungsbetrag') AS wage_docs""".replace("CODES_", str(tuple(CODES.values()))),
     "name_order": "SELECT n_name FROM nation ORDER BY lower(n_name), n_name",
-    "first_lines": f"WITH {_G}, n AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS line_seq FROM g) SELECT doc, page, CAST(line_seq AS INT) AS line_seq, CASE text {_CASE} ELSE text END AS text FROM n WHERE line_seq <= 3",
 }

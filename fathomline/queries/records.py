@@ -260,11 +260,11 @@ r AS (SELECT 0 AS k, repo, path AS rest, size FROM f UNION ALL SELECT 1, repo, s
 SELECT repo, string_split(rest, '/')[1] AS name, CASE WHEN contains(rest, '/') THEN 'tree' ELSE 'blob' END AS type, CASE WHEN NOT contains(rest, '/') THEN max(size) END AS size FROM r GROUP BY k, repo, string_split(rest, '/')[1], contains(rest, '/')""",
     "repo_refs": """WITH r AS (SELECT DISTINCT o_custkey AS repo, CASE WHEN o_orderstatus = 'F' THEN 'tag' ELSE 'branch' END AS kind, lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) AS name, CASE WHEN o_custkey % 2 = 0 THEN 'medium' END AS head FROM orders)
 SELECT repo, name, kind, kind = 'branch' AND row_number() OVER (PARTITION BY repo, kind ORDER BY CASE WHEN name = head THEN 0 WHEN name = 'main' THEN 1 WHEN name = 'master' THEN 2 ELSE 3 END, name) = 1 AS is_default FROM r""",
-    "blob_texts": "SELECT doc_id, CASE WHEN size <= 5242880 THEN substr(text, 1, 40) ELSE 'too large: ' || size || ' bytes' END AS content FROM (SELECT doc_id, text, strlen(text) * CASE WHEN doc_id % 3 = 0 THEN 10000 ELSE 1 END AS size FROM documents)",
-    "push_decisions": f"""WITH {_JOBS}, p AS (SELECT event_id, 't/u' || user_id AS container_id, event_id = last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM events WHERE event_type = 'purchase'),
-a AS (SELECT DISTINCT container_id FROM j WHERE id % 7 = 0 AND status = 'running')
-SELECT event_id, p.container_id, CASE WHEN NOT last THEN 'superseded' WHEN c_custkey IS NULL OR c_nationkey = 3 THEN 'no-repo' WHEN c_nationkey = 5 THEN 'empty-repo' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'no-ingest-config' WHEN c_mktsegment = 'FURNITURE' THEN 'bad-mode'
-  WHEN c_nationkey = 7 THEN 'own-writeback' WHEN c_nationkey = 9 THEN 'source-path-missing' WHEN c_custkey % 3 = 0 THEN 'unchanged-source' WHEN a.container_id IS NOT NULL THEN 'active-job-exists' ELSE 'enqueue' END AS decision
+    "blob_texts": "SELECT doc_id, CASE WHEN size <= 5242880 THEN text ELSE 'too large: ' || size || ' bytes' END AS content FROM (SELECT doc_id, text, strlen(text) * CASE WHEN doc_id % 3 = 0 THEN 10000 ELSE 1 END AS size FROM documents)",
+    "push_decisions": f"""WITH {_JOBS}, p AS (SELECT event_id, 't/u' || user_id AS container_id, event_id = first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first FROM events WHERE event_type = 'purchase'),
+a AS (SELECT DISTINCT container_id FROM j WHERE status IN ('queued', 'running'))
+SELECT event_id, p.container_id, CASE WHEN c_custkey IS NULL OR c_nationkey = 3 THEN 'no-repo' WHEN c_nationkey = 5 THEN 'empty-repo' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'no-ingest-config' WHEN c_mktsegment = 'FURNITURE' THEN 'bad-mode'
+  WHEN c_nationkey = 7 THEN 'own-writeback' WHEN c_nationkey = 9 THEN 'source-path-missing' WHEN c_custkey % 3 = 0 THEN 'unchanged-source' WHEN a.container_id IS NOT NULL OR NOT first THEN 'active-job-exists' ELSE 'enqueue' END AS decision
 FROM p LEFT JOIN customer ON p.container_id = 't/u' || c_custkey LEFT JOIN a ON a.container_id = p.container_id""",
     "active_job_antijoin": f"WITH {_JOBS} SELECT 't/u' || c_custkey AS container_id FROM customer WHERE 't/u' || c_custkey NOT IN (SELECT container_id FROM j WHERE status IN ('queued', 'running'))",
     "oldest_queued": f"WITH {_JOBS} SELECT container_id, id FROM (SELECT *, row_number() OVER (PARTITION BY container_id ORDER BY t, id) AS n FROM j WHERE status = 'queued') WHERE n = 1",

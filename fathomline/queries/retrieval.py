@@ -141,7 +141,7 @@ _RANK = "row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id)"
 _DENSE = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 near AS (SELECT a.id AS q_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0)"""
 _BOTH = (
-    "WITH " + _scores("documents", "doc_id", "(SELECT * FROM documents WHERE doc_id % 20 = 0)", "doc_id", "array_to_string(string_split(text, ' ')[1:8], ' ')") + ", " + _DENSE
+    "WITH " + _scores("documents", "doc_id", "(SELECT * FROM documents WHERE doc_id % 20 = 0)", "doc_id", "text") + ", " + _DENSE
     + f""", lx AS (SELECT * FROM (SELECT *, {_RANK} AS rk FROM s) WHERE rk <= LIMIT_), dn AS (SELECT * FROM (SELECT *, {_RANK} AS rk FROM near) WHERE rk <= LIMIT_),
 f AS (SELECT coalesce(d.q_id, l.q_id) AS q_id, coalesce(d.id, l.id) AS id, d.rk AS dr, l.rk AS lr,
   round(coalesce(1.0 / (60 + d.rk), 0) + coalesce(1.0 / (60 + l.rk), 0), 8) AS score FROM dn d FULL JOIN lx l ON d.q_id = l.q_id AND d.id = l.id)
