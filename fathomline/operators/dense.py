@@ -1,15 +1,18 @@
-"""Exact dense search in blocks."""
+"""Exact dense search in blocks, and what searches share: packed vectors, the best of a block, merged lists."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stored rows and queries that meet in one task.
-GROUP_ROWS, QUERIES_AT_ONCE = 8_192, 16_384
+#: Numbers of the stored rows and of the queries that meet in one task at most.
+GROUP_NUMBERS, QUERY_NUMBERS = 65_536 * 64, 131_072 * 64
+#: Numbers of a block of similarities.
+BLOCK = 4_000_000
 
 
 def usable(vector: Column, dims: int) -> Column:
@@ -25,95 +28,123 @@ def unit_rows(column: pa.Array, dims: int) -> np.ndarray:
 
 def packed(x: np.ndarray) -> pa.Array:
     """Rows as bytes of their own precision."""
-    width = x.shape[1] * x.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, len(x) * width + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    return binary(np.ascontiguousarray(x), np.arange(0, len(x) + 1) * (x.shape[1] * x.itemsize))
+
+
+def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``data`` between the offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
 
+def joined_bytes(column: pa.Array | pa.ChunkedArray) -> bytes:
+    return b"".join(column.to_pylist())
 
-def unpacked(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.float64 if len(raw) == len(column) * dims * 8 else np.float32).reshape(-1, dims)
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(joined_bytes(column), kind).reshape(len(column), -1)
 
 
 def kth_bound(sims: np.ndarray, k: int, group: int = 16) -> np.ndarray:
-    """A lower bound of each row's k-th largest number: that of the maxima of groups of columns."""
+    """A lower bound of each row's k-th largest number: that of the maxima of groups of columns. Rows of
+    fewer than k numbers have none."""
+    if sims.shape[1] < k:
+        return np.full(len(sims), -np.inf, sims.dtype)
     whole = sims.shape[1] // group * group
     if whole // group > 4 * k:
         sims = np.concatenate([sims[:, :whole].reshape(len(sims), -1, group).max(2), sims[:, whole:]], axis=1)
-    k = min(k, sims.shape[1])
     return -np.partition(-sims, k - 1, axis=1)[:, k - 1]
 
 
-def packs(loads: dict[int, int]) -> tuple[list[int], list[int], int]:
-    """By part: its first group and its number of groups; and how many groups there are. Parts that follow
-    each other share a group of up to GROUP_ROWS stored rows; a larger part has several of its own."""
-    first, several = [0] * (max(loads, default=0) + 1), [1] * (max(loads, default=0) + 1)
-    group, room = -1, 0
-    for part in sorted(loads):
-        if loads[part] > GROUP_ROWS:
-            first[part], several[part] = group + 1, -(-loads[part] // GROUP_ROWS)
-            group, room = group + several[part], 0
-            continue
-        if loads[part] > room:
-            group, room = group + 1, GROUP_ROWS
-        room -= loads[part]
-        first[part] = group
-    return first, several, group + 1
-
-
-def search(stored: DataFrame, queries: DataFrame, dims: int, k: int) -> DataFrame:
-    """(id, near): the k nearest others of each query among the stored rows of its parts, nearest
-    first, ties by id. stored(id, v, part), queries(id, v, parts).
-
-    Stored rows are packed into groups of GROUP_ROWS (several parts, or a piece of a crowded one). A query
-    goes once to each group that it needs, in blocks of QUERIES_AT_ONCE, so no task has more than that of
-    either. Similarities are rounded to 6 digits (in single precision the last may differ).
-    """
-    first, several, groups = packs({r[0]: r[1] for r in stored.groupBy("part").count().collect()})  # a row per part
-    first_of, several_of = (F.array(*map(F.lit, x)) for x in (first, several))
-    own = F.get(first_of, F.col("part")) + F.pmod(F.xxhash64("id"), F.get(several_of, F.col("part"))).cast("int")
-    rows = stored.withColumn("g", own)
-    known = F.filter("parts", lambda p: p < len(first))
-    need = F.array_distinct(F.flatten(F.transform(known, lambda p: F.sequence(F.get(first_of, p), F.get(first_of, p) + F.get(several_of, p) - 1))))
-    asked = queries.select("id", "v", "parts", F.explode(need).alias("g"))
-    counts = {r[0]: r[1] for r in queries.select(F.explode(need).alias("g")).groupBy("g").count().collect()}  # a row per group
-    blocks = F.get(F.array(*(F.lit(max(1, -(-counts.get(g, 0) // QUERIES_AT_ONCE))) for g in range(max(1, groups)))), F.col("g"))
-    here = F.filter("parts", lambda p: (p < len(first)) & (F.get(first_of, p) <= F.col("g")) & (F.col("g") < F.get(first_of, p) + F.get(several_of, p)))
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    both = rows.select("id", "v", F.array("part").alias("parts"), "g", F.lit(0).alias("kind"), every.alias("q")).unionByName(
-        asked.select("id", "v", here.alias("parts"), "g", F.lit(1).alias("kind"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("q"))
-    )
-    schema = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))])
-
-    def compare(table: pa.Table) -> pa.Table:
-        kind, ids = table["kind"].to_numpy(), table["id"].to_numpy()
-        lists = table["parts"].combine_chunks()
-        part, row = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
-        if not (kind == 0).any() or not (kind == 1).any():
-            return schema.empty_table()
-        x, found = unpacked(table["v"], dims), []
-        for p in np.unique(part[kind[row] == 0]):
-            of = row[part == p]
-            s, q = of[kind[of] == 0], of[kind[of] == 1]
-            for at in range(0, len(q), 512):
-                mine = q[at : at + 512]
-                sims = x[mine] @ x[s].T
-                sims[ids[mine][:, None] == ids[s][None, :]] = -np.inf
-                r, c = np.nonzero(sims >= (kth_bound(sims, k) - 2e-6)[:, None])
-                found.append((mine[r], ids[s[c]], np.round(sims[r, c], 6)))  # ties are then the same on every machine
-        q, other, value = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        kept = np.isfinite(value)
-        q, other, value = q[kept], other[kept], value[kept]
-        order = np.lexsort((other, -value, q))
-        q, other, value = q[order], other[order], value[order]
-        asking, start = np.unique(q, return_index=True)
-        size = np.diff(np.append(start, len(q)))
-        kept = np.arange(len(q)) - np.repeat(start, size) < k
-        offsets = np.concatenate([[0], np.cumsum(np.minimum(size, k))]).astype(np.int32)
-        structs = pa.StructArray.from_arrays([pa.array(-value[kept].astype(np.float64)), pa.array(other[kept])], names=["far", "id"])
-        return pa.Table.from_arrays([pa.array(ids[asking]), pa.ListArray.from_arrays(pa.array(offsets), structs)], schema=schema)
-
-    found = both.groupBy("g", "q").applyInArrow(compare, "id bigint, near array<struct<far:double,id:bigint>>")
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+class Best:
+    """The k best candidates of each of ``size`` queries, kept while blocks of similarities come in."""
+
+    def __init__(self, size: int, k: int, least: float = -np.inf) -> None:
+        self.k, self.bound = k, np.full(size, least - 2e-6)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, sims: np.ndarray, tighten: bool) -> None:
+        """Take in sims (queries x ids); ``tighten`` finds the k-th best of the block first."""
+        bound = self.bound[queries]
+        if tighten:
+            bound = np.maximum(bound, kth_bound(sims, self.k) - 2e-6)
+        r, c = np.nonzero(sims >= bound[:, None].astype(sims.dtype))
+        self.held.append((queries[r], ids[c], np.round(sims[r, c].astype(np.float64), 6)))  # ties are then the same on every machine
+        self.count += len(r)
+        if self.count > 4 * self.k * len(self.bound) + BLOCK:
+            self.prune()
+
+    def prune(self) -> None:
+        q, other, value = (np.concatenate(z) for z in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        kept, q, other, value, place = ranked(q, other, value, self.k)
+        self.held, self.count = [(q, other, value)], len(q)
+        last = place == self.k - 1
+        self.bound[q[last]] = np.maximum(self.bound[q[last]], value[last] - 2e-6)
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, similarity), best first."""
+        self.prune()
+        return self.held[0]
+
+
+def ranked(q: np.ndarray, other: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(order, q, other, value, place) of the k best per query, ties by id, impossible ones (-inf) left out."""
+    order = np.lexsort((other, -value, q))
+    order = order[np.isfinite(value[order])]
+    q = q[order]
+    new = np.ones(len(q), bool)
+    new[1:] = q[1:] != q[:-1]
+    start = np.flatnonzero(new)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    kept = place < k
+    order = order[kept]
+    return order, q[kept], other[order], value[order], place[kept]
+
+
+#: What a task returns of a query: its best candidates there.
+FOUND = "id bigint, near binary"
+CANDIDATE = np.dtype([("sim", "<f8"), ("id", "<i8")])
+
+
+def found_rows(ids: np.ndarray, q: np.ndarray, other: np.ndarray, value: np.ndarray) -> pa.Table:
+    """Rows of FOUND of candidates that stand in order of ``q``, an index into ``ids``."""
+    asking, start = np.unique(q, return_index=True)
+    near = np.empty(len(q), CANDIDATE)
+    near["sim"], near["id"] = value, other
+    return pa.table({"id": pa.array(ids[asking], pa.int64()), "near": binary(near, np.append(start, len(q)) * CANDIDATE.itemsize)})
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """(id, rk, other, score): the k best of each id's candidates from all tasks. They are sorted by id, and
+    one batch after the other is merged, so a task holds one batch."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            raw = batch["near"].to_pylist()
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // CANDIDATE.itemsize
+            near = np.frombuffer(b"".join(raw), CANDIDATE)
+            now = (np.repeat(batch["id"].to_numpy(), sizes), near["id"], near["sim"])
+            if held is not None:
+                now = tuple(np.concatenate(z) for z in zip(held, now, strict=True))
+            if not len(now[0]):
+                held = None
+                continue
+            open_ = now[0] == now[0][-1]  # its rows may go on in the next batch
+            done = tuple(z[~open_] for z in now)
+            held = tuple(z[open_] for z in now)
+            if len(held[0]) > 64 * k:
+                held = ranked(*held, k)[1:4]
+            if len(done[0]):
+                yield rows(done)
+        if held is not None and len(held[0]):
+            yield rows(held)
+
+    def rows(some: tuple) -> pa.RecordBatch:
+        _, q, other, value, place = ranked(*some, k)
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array((place + 1).astype(np.int32)), pa.array(other), pa.array(value)], names=["id", "rk", "other", "score"])
+
+    return found.repartition("id").sortWithinPartitions("id").mapInArrow(merge, "id bigint, rk int, other bigint, score double")
 
 
 def with_units(rows: DataFrame, id_col: str, vector: Column, dims: int) -> DataFrame:
@@ -131,6 +162,27 @@ def with_units(rows: DataFrame, id_col: str, vector: Column, dims: int) -> DataF
 def exact_nearest(stored: DataFrame, queries: DataFrame, dims: int, k: int) -> DataFrame:
     """(q_id, id, rk, score) from 1: the k best cosines of each query over all stored rows but itself,
     ties by id. Both have (id, v) of with_units; every block of queries meets every block of rows."""
-    near = search(stored.withColumn("part", F.lit(0)), queries.withColumn("parts", F.array(F.lit(0))), dims, k)
-    near = near.select("id", F.posexplode("near").alias("p", "n"))
-    return near.select(F.col("id").alias("q_id"), F.col("n.id").alias("id"), (F.col("p") + 1).alias("rk"), (-F.col("n.far")).alias("score"))
+    groups, blocks = max(1, -(-stored.count() * dims // GROUP_NUMBERS)), max(1, -(-queries.count() * dims // QUERY_NUMBERS))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = stored.select("id", "v", own(groups).alias("g"), F.lit(0).alias("kind"), all_(blocks).alias("q")).unionByName(
+        queries.select("id", "v", all_(groups).alias("g"), F.lit(1).alias("kind"), own(blocks).alias("q"))
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        kind, ids = table["kind"].to_numpy(), table["id"].to_numpy()
+        s, q = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        x = unpacked(table["v"], np.float64)
+        best = Best(len(q), k)
+        if len(s) and len(q):
+            xs = x[s]
+            step = max(1, BLOCK // len(s))
+            for at in range(0, len(q), step):
+                mine = np.arange(at, min(at + step, len(q)))
+                sims = x[q[mine]] @ xs.T
+                sims[ids[q[mine]][:, None] == ids[s][None, :]] = -np.inf
+                best.add(mine, ids[s], sims, True)
+        return found_rows(ids[q], *best.lists())
+
+    near = merged(both.groupBy("g", "q").applyInArrow(compare, FOUND), k)
+    return near.select(F.col("id").alias("q_id"), F.col("other").alias("id"), "rk", "score")
