@@ -67,7 +67,8 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    close = nearest(_routed(spark, folder)).where("cosine >= 0.9")
+    """Of the ten most similar those that are close: the search doesn't return the others."""
+    close = nearest(_routed(spark, folder), least=0.9)
     return close.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
 
 
