@@ -75,7 +75,9 @@ class Best:
             self.prune()
 
     def prune(self) -> None:
-        q, other, value = (np.concatenate(z) for z in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if not self.held:
+            self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        q, other, value = (np.concatenate(z) for z in zip(*self.held, strict=True))
         kept, q, other, value, place = ranked(q, other, value, self.k)
         self.held, self.count = [(q, other, value)], len(q)
         last = place == self.k - 1

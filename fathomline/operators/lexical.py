@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import tokens
-from fathomline.session import materialize
+from fathomline.operators.dense import BLOCK, FOUND, Best, binary, found_rows, joined_bytes, merged
+from fathomline.session import broadcast_below, materialize
 
 K1, B = 1.5, 0.75
-#: Rows of a table of query terms that are broadcast at most.
-BROADCAST_TERMS = 1_000_000
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 64 << 20
+#: Queries that meet a block of documents at once.
+QUERIES_AT_ONCE = 4_096
+#: Scores are rounded to 6 digits before they are ranked; bounds leave that much room.
+ROOM = 1e-5
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
-    """With the broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table, with the broadcast hint if it is small enough."""
+    return broadcast_below(df, BROADCAST_BYTES)
 
 
 def limited(long: DataFrame, column: str, terms: DataFrame) -> DataFrame:
-    """Rows of ``long`` whose ``column`` is one of the terms (a column of that name) or empty. Few terms
-    are broadcast; many are joined by shuffle, without the empty ones, which every record has."""
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    """Rows of ``long`` whose ``column`` is one of the terms (a written column of that name) or empty. Few
+    terms are broadcast; many are joined by shuffle, without the empty ones, which every record has."""
+    small = bounded(terms)
+    if small is not terms:
         empty = terms.sparkSession.createDataFrame([("",)], f"{column} string")
         return long.join(F.broadcast(terms.select(column).union(empty)), column, "left_semi")
     return long.where(F.col(column) != "").join(terms, column, "left_semi").unionByName(long.where(F.col(column) == ""))
@@ -42,21 +53,141 @@ def query_terms(queries: DataFrame, id_col: str, text: Column, mode: str = "serv
     return queries.select(F.col(id_col).alias("q_id"), F.explode(F.array_distinct(tokens(text, mode))).alias("token"))
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column, asked: DataFrame, mode: str = "server") -> DataFrame:
-    """(q_id, id, score): the BM25 score, rounded to 6 digits, of every document with a query term.
+def weighed(docs: DataFrame, id_col: str, text: Column, asked: DataFrame, mode: str = "server") -> tuple[DataFrame, DataFrame]:
+    """(postings, wanted) for terms asked for (q_id, token): postings(id, token, w) have the document's part
+    of a term's score, wanted(q_id, token, idf, df, most) the query's and the most that the term can add.
     N and the mean length are over all documents, empty ones included."""
-    asked = materialize(asked)
-    terms = asked.select("token").distinct()
+    terms = materialize(asked.select("token").distinct())
     table = materialize(term_table(docs, id_col, text, mode, terms))
     n, total = table.where("token = ''").agg(F.count(F.lit(1)), F.sum("len")).first()
     mean = (total or 0) / n if n else 1.0
-    postings = table.where("token <> ''")
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
+    postings = table.where("token <> ''").select("id", "token", part.alias("w"))
+    stats = materialize(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("w")))
     idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "token").select("q_id", "token", idf.alias("idf"))
-    weighed = bounded(weighed)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-    return postings.join(weighed, "token").groupBy("q_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return postings, materialize(asked.join(bounded(stats), "token").select("q_id", "token", idf.alias("idf"), "df", (idf * F.col("w")).alias("most")))
+
+
+def scores(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(q_id, id, score) over the given terms of the queries."""
+    return postings.join(bounded(wanted), "token").groupBy("q_id", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
+
+
+def bm25(docs: DataFrame, id_col: str, text: Column, asked: DataFrame, mode: str = "server") -> DataFrame:
+    """(q_id, id, score): the BM25 score, rounded to 6 digits, of every document with a query term."""
+    return scores(*weighed(docs, id_col, text, materialize(asked), mode)).withColumn("score", F.round("score", 6))
+
+
+def bm25_top(docs: DataFrame, id_col: str, text: Column, asked: DataFrame, k: int, mode: str = "server") -> DataFrame:
+    """(q_id, id, score, rk): the k best documents of each query by ``bm25``, ties by id. No row is made of a
+    pair that isn't among the best of its task: queries that fit the broadcast bound meet the documents in
+    blocks (``_top_in_blocks``); more of them, or ids that aren't whole numbers, are joined."""
+    asked = materialize(asked)
+    whole = all(f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for f in (docs.schema[id_col], asked.schema["q_id"]))
+    return (_top_in_blocks if whole and bounded(asked) is not asked else _top_by_joins)(docs, id_col, text, asked, k, mode)
+
+
+def _top_in_blocks(docs: DataFrame, id_col: str, text: Column, asked: DataFrame, k: int, mode: str) -> DataFrame:
+    """Documents are written once as the codes and counts of the terms asked for. A task then adds up, term by
+    term, the scores of a block of documents for a block of queries, and keeps the k best of each query."""
+    pairs = asked.toArrow()  # within the broadcast bound
+    queries, q = np.unique(pairs["q_id"].to_numpy(), return_inverse=True)
+    terms = pc.unique(pairs["token"].combine_chunks()) if len(pairs) else pa.array([], pa.string())
+    code = pc.index_in(pairs["token"].combine_chunks(), terms).to_numpy(zero_copy_only=False) if len(pairs) else np.zeros(0, np.int64)
+    kind, size = docs.schema[id_col].dataType.simpleString(), len(terms)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch["found"]
+            at = pc.index_in(found.flatten(), terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = pc.list_parent_indices(found).to_numpy()
+            key, tf = np.unique((row * (size + 1) + at)[at >= 0], return_counts=True)
+            ends = np.searchsorted(key, np.arange(batch.num_rows + 1) * (size + 1)) * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], pc.fill_null(pc.list_value_length(found), 0), binary((key % (size + 1)).astype("<i4"), ends), binary(tf.astype("<i4"), ends)], names=["id", "len", "codes", "tfs"]
+            )
+
+    rows = docs.select(F.col(id_col).alias("id"), tokens(text, mode).alias("found"))
+    written = materialize(rows.mapInArrow(coded, f"id {kind}, len int, codes binary, tfs binary"))
+    n, total = written.agg(F.count(F.lit(1)), F.sum("len")).first()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(size, np.int64)
+        for batch in batches:
+            df += np.bincount(np.frombuffer(joined_bytes(batch["codes"]), "<i4"), minlength=size)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], names=["code", "df"])
+
+    df = np.zeros(size)
+    for c, many in written.mapInArrow(counted, "code int, df bigint").groupBy("code").agg(F.sum("df")).collect():  # a row per term asked for
+        df[c] = many
+    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), ((total or 0) / n if n else 1.0) or 1.0
+    order = np.lexsort((q, code))
+    asking, at = q[order], np.searchsorted(code[order], np.arange(size + 1))
+
+    def best_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [Best(min(QUERIES_AT_ONCE, len(queries) - low), k) for low in range(0, len(queries), QUERIES_AT_ONCE)]
+        for batch in batches:
+            step = max(1, BLOCK // min(QUERIES_AT_ONCE, max(1, len(queries))))
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                ids, own = part["id"].to_numpy().astype(np.int64), part["codes"].to_pylist()
+                codes, tf = np.frombuffer(b"".join(own), "<i4"), np.frombuffer(joined_bytes(part["tfs"]), "<i4")
+                if not len(codes):
+                    continue
+                doc = np.repeat(np.arange(len(ids)), np.fromiter((len(c) // 4 for c in own), np.int64, len(own)))
+                w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * part["len"].to_numpy()[doc] / mean))
+                by_code = np.argsort(codes, kind="stable")
+                doc, w, here, starts = doc[by_code], w[by_code], *np.unique(codes[by_code], return_index=True)
+                ends = np.append(starts[1:], len(doc))
+                for b, low in enumerate(range(0, len(queries), QUERIES_AT_ONCE)):
+                    score = np.zeros((len(best[b].bound), len(ids)))
+                    for c, s, e in zip(here, starts, ends, strict=True):
+                        mine = asking[at[c] : at[c + 1]]
+                        if len(best) > 1:
+                            mine = mine[slice(*np.searchsorted(mine, [low, low + QUERIES_AT_ONCE]))] - low
+                        if len(mine):
+                            score[np.ix_(mine, doc[s:e])] += idf[c] * w[s:e]
+                    score[score == 0] = -np.inf
+                    best[b].add(np.arange(len(score)), ids, score, True)
+        for b, low in enumerate(range(0, len(queries), QUERIES_AT_ONCE)):
+            yield from found_rows(queries[low : low + QUERIES_AT_ONCE].astype(np.int64), *best[b].lists()).to_batches()
+
+    return merged(written.mapInArrow(best_here, FOUND), k).select(F.col("id").alias("q_id"), F.col("other").alias("id"), "score", "rk")
+
+
+def _top_by_joins(docs: DataFrame, id_col: str, text: Column, asked: DataFrame, k: int, mode: str, seeds: int = 64) -> DataFrame:
+    """Without scoring all documents that share a word with a query, and yet exact:
+
+    1. The rarest terms of a query, with up to ``seeds`` * k postings, are scored, and the scores of the best
+       documents by them completed; the k-th best of these is a score that the k-th best document reaches.
+    2. A query's terms of least weight that together stay below it can't make a document one of the best:
+       only documents with another term are candidates, and of them those that could still reach it.
+    3. The candidates' scores are completed with the terms left aside.
+    """
+    postings, wanted = weighed(docs, id_col, text, asked, mode)
+    rare_first = Window.partitionBy("q_id").orderBy("df", "token")
+    wanted = wanted.withColumn("so_far", F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, 0)))
+    first = materialize(wanted.where((F.col("so_far") <= seeds * k) | (F.col("so_far") == F.col("df"))))
+    some = top(scores(postings, first), 4 * k).select("q_id", "id")
+    best = top(completed(materialize(some), wanted, postings), k).groupBy("q_id").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    reached = best.select("q_id", F.when(F.col("n") >= k, F.col("score")).otherwise(0.0).alias("reached"))
+    light_first = Window.partitionBy("q_id").orderBy("most", "token")
+    of_query = Window.partitionBy("q_id")
+    split = wanted.join(reached, "q_id").withColumn("aside", F.sum("most").over(light_first.rowsBetween(Window.unboundedPreceding, 0)) < F.col("reached") - ROOM)
+    needed = F.col("reached") - F.coalesce(F.sum(F.when(F.col("aside"), F.col("most"))).over(of_query), F.lit(0.0)) - ROOM
+    split = materialize(split.select("q_id", "token", "idf", "aside", needed.alias("needed")))
+    found = postings.join(bounded(split.where("not aside")), "token").groupBy("q_id", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"), F.first("needed").alias("needed"))
+    candidates = materialize(found.where("score >= needed").select("q_id", "id", "score"))
+    rest = completed(candidates.select("q_id", "id"), split.where("aside"), postings)
+    return top(candidates.unionByName(rest).groupBy("q_id", "id").agg(F.round(F.sum("score"), 6).alias("score")), k)
+
+
+def completed(pairs: DataFrame, wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """(q_id, id, score) of the pairs over the given terms of their queries; pairs without one have no row.
+    The pairs meet the postings of their documents, so frequent terms are read for them alone."""
+    terms = pairs.join(bounded(wanted.select("q_id", "token", "idf")), "q_id")
+    return terms.join(postings, ["id", "token"]).groupBy("q_id", "id").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: str = "q_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -66,7 +197,8 @@ def top(scored: DataFrame, k: int, by: str = "q_id", score: str = "score", tie:
 
 
 def evaluator_top(scored: DataFrame, docs: DataFrame, id_col: str, queries: DataFrame, q_col: str, k: int = 50) -> DataFrame:
-    """As ``top``, but documents of score 0 take part, by position: the first k positions are enough."""
+    """As ``top``, but documents of score 0 take part, by position: the first k positions are enough.
+    ``scored`` may be the k best alone: of a query with fewer it has all."""
     first = [r[0] for r in docs.select(id_col).orderBy(id_col).limit(k).collect()]
     kind = docs.schema[id_col].dataType.simpleString()
     empty = queries.select(F.col(q_col).alias("q_id"), F.explode(F.array(*(F.lit(x).cast(kind) for x in first)) if first else F.array().cast(f"array<{kind}>")).alias("id"))

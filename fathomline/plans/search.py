@@ -15,7 +15,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: Column | int | None = 8, ve
     match nothing have no row; texts are cut at 700 characters, scores rounded to 4 digits.
     """
     k = chunks.sparkSession.range(1).select(catalog.clamped_k(k)).first()[0]
-    ranked = lexical.top(lexical.bm25(chunks, "id", F.col("text"), lexical.query_terms(queries, "q_id", F.col("q"))), 100 if vectors is not None else k)
+    ranked = lexical.bm25_top(chunks, "id", F.col("text"), lexical.query_terms(queries, "q_id", F.col("q")), 100 if vectors is not None else k)
     mode = "lexical"
     if vectors is not None and query_vectors is not None:
         units = dense.with_units(vectors, "id", F.col("embedding"), dims)

@@ -152,7 +152,7 @@ def message_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 def context_block(spark: SparkSession, folder: str) -> DataFrame:
     gold, chunks = table(spark, folder, "gold"), table(spark, folder, "chunks")
-    ranked = lexical.top(lexical.bm25(chunks, "row_id", F.col("text"), lexical.query_terms(gold, "q_id", F.col("q"))), 3)
+    ranked = lexical.bm25_top(chunks, "row_id", F.col("text"), lexical.query_terms(gold, "q_id", F.col("q")), 3)
     matches = ranked.join(chunks.select(F.col("row_id").alias("id"), "container_id", "source", "text"), "id")
     return ground.or_nothing_found(gold, ground.context_blocks(matches))
 

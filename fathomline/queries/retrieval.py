@@ -32,21 +32,26 @@ def _gold_scores(spark: SparkSession, folder: str, mode: str = "server") -> Data
     return lexical.bm25(table(spark, folder, "chunks"), "row_id", F.col("text"), asked, mode)
 
 
+def _gold_top(spark: SparkSession, folder: str, k: int, mode: str = "server") -> DataFrame:
+    asked = lexical.query_terms(table(spark, folder, "gold"), "q_id", F.col("q"), mode)
+    return lexical.bm25_top(table(spark, folder, "chunks"), "row_id", F.col("text"), asked, k, mode)
+
+
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.top(_gold_scores(spark, folder), 10).withColumnRenamed("id", "row_id")
+    return _gold_top(spark, folder, 10).withColumnRenamed("id", "row_id")
 
 
 def bm25_topk_evalrank(spark: SparkSession, folder: str) -> DataFrame:
-    scores = _gold_scores(spark, folder, "evaluator")
-    return lexical.evaluator_top(scores, table(spark, folder, "chunks"), "row_id", table(spark, folder, "gold"), "q_id").withColumnRenamed("id", "row_id")
+    best = _gold_top(spark, folder, 50, "evaluator").drop("rk")
+    return lexical.evaluator_top(best, table(spark, folder, "chunks"), "row_id", table(spark, folder, "gold"), "q_id").withColumnRenamed("id", "row_id")
 
 
-def _doc_rankings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _doc_rankings(spark: SparkSession, folder: str, k: int, mode: str = "server") -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents")
     units = dense.with_units(table(spark, folder, "embeddings"), "vec_id", F.col("embedding"), DIMS)
     queries = docs.where("doc_id % 20 = 0")
-    lex = lexical.top(lexical.bm25(docs, "doc_id", F.col("text"), lexical.query_terms(queries, "doc_id", F.col("text"))), 100)
-    near = dense.exact_nearest(units, units.where("id % 20 = 0"), DIMS, 100)
+    lex = lexical.bm25_top(docs, "doc_id", F.col("text"), lexical.query_terms(queries, "doc_id", F.col("text"), mode), k, mode)
+    near = dense.exact_nearest(units, units.where("id % 20 = 0"), DIMS, k)
     return near, lex
 
 
@@ -56,13 +61,16 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
-    near, lex = _doc_rankings(spark, folder)
+    near, lex = _doc_rankings(spark, folder, 100)
     return fuse.fused(near, lex, 8).select("q_id", "id", "score", "rk")
 
 
 def rrf_eval50(spark: SparkSession, folder: str) -> DataFrame:
-    near, lex = _doc_rankings(spark, folder)
-    return fuse.fused(near.where("rk <= 50"), lex.where("rk <= 50"), 10).select("q_id", "id", "score", "rk")
+    """As the evaluation ranks: its own tokens, the first 50 of either side, documents of score 0 among them."""
+    near, lex = _doc_rankings(spark, folder, 50, "evaluator")
+    docs = table(spark, folder, "documents")
+    lex = lexical.evaluator_top(lex.drop("rk"), docs, "doc_id", docs.where("doc_id % 20 = 0"), "doc_id")
+    return fuse.fused(near, lex, 10).select("q_id", "id", "score", "rk")
 
 
 def _by_container(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +88,7 @@ def fanout_merge_by_container(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _top_with_text(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    ranked = lexical.top(_gold_scores(spark, folder, "evaluator"), k)
+    ranked = _gold_top(spark, folder, k, "evaluator")
     return ranked.join(table(spark, folder, "chunks").select(F.col("row_id").alias("id"), "source", "text"), "id")
 
 
@@ -108,7 +116,7 @@ def fail_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
 
 def match_projection(spark: SparkSession, folder: str) -> DataFrame:
     """What a search returns: the score to 4 digits, the text's first 700 characters, and provenance."""
-    ranked = lexical.top(_gold_scores(spark, folder), 8)
+    ranked = _gold_top(spark, folder, 8)
     chunks = table(spark, folder, "chunks").select(F.col("row_id").alias("id"), "source", F.substring("text", 1, 700).alias("text"), "page", "y", "line_from", "line_to", "reader")
     return ranked.join(chunks, "id").select("q_id", "rk", F.round("score", 4).alias("score"), F.col("id").alias("row_id"), "source", "text", "page", "y", "line_from", "line_to", "reader")
 
@@ -140,13 +148,12 @@ _GOLD_EVAL = _scores("chunks", "row_id", "gold", "q_id", "q", _EVAL)
 _RANK = "row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id)"
 _DENSE = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 near AS (SELECT a.id AS q_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0)"""
-_BOTH = (
-    "WITH " + _scores("documents", "doc_id", "(SELECT * FROM documents WHERE doc_id % 20 = 0)", "doc_id", "text") + ", " + _DENSE
-    + f""", lx AS (SELECT * FROM (SELECT *, {_RANK} AS rk FROM s) WHERE rk <= LIMIT_), dn AS (SELECT * FROM (SELECT *, {_RANK} AS rk FROM near) WHERE rk <= LIMIT_),
+_FUSED = """, lx AS (SELECT * FROM (SELECT *, RANK_ AS rk FROM LEX_) WHERE rk <= LIMIT_), dn AS (SELECT * FROM (SELECT *, RANK_ AS rk FROM near) WHERE rk <= LIMIT_),
 f AS (SELECT coalesce(d.q_id, l.q_id) AS q_id, coalesce(d.id, l.id) AS id, d.rk AS dr, l.rk AS lr,
   round(coalesce(1.0 / (60 + d.rk), 0) + coalesce(1.0 / (60 + l.rk), 0), 8) AS score FROM dn d FULL JOIN lx l ON d.q_id = l.q_id AND d.id = l.id)
-SELECT q_id, id, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, dr NULLS LAST, lr) AS rk FROM f) WHERE rk <= TOP_"""
-)
+SELECT q_id, id, score, rk FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, dr NULLS LAST, lr) AS rk FROM f) WHERE rk <= TOP_""".replace("RANK_", _RANK)
+_ASKING = "(SELECT * FROM documents WHERE doc_id % 20 = 0)"
+_ZERO = f""", z AS (SELECT * FROM s UNION ALL SELECT a.doc_id, x.doc_id, 0.0 FROM {_ASKING} a, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50) x WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.q_id = a.doc_id AND s.id = x.doc_id))"""
 _PER_CONTAINER = f"WITH {_GOLD}, c AS (SELECT s.*, chunks.container_id, row_number() OVER (PARTITION BY q_id, chunks.container_id ORDER BY score DESC, s.id) AS crk FROM s JOIN chunks ON s.id = row_id), first AS (SELECT DISTINCT container_id FROM c ORDER BY 1 LIMIT 20), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY ORDER_) AS rk FROM c JOIN first USING (container_id) WHERE crk <= 8) SELECT q_id, container_id, id, score, rk FROM r WHERE rk <= 8"
 _TOP_TEXT = f"WITH {_GOLD_EVAL}, r AS (SELECT * FROM (SELECT *, {_RANK} AS rk FROM s) WHERE rk <= TOP_), t AS (SELECT r.*, source, regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g') AS d FROM r JOIN chunks ON r.id = row_id), g AS (SELECT *, regexp_replace(coalesce(value, ''), '[^0-9]', '', 'g') AS wanted FROM gold)"
 _QUESTIONS = _TOP_TEXT.replace("TOP_", "3") + """, h AS (SELECT t.q_id, rk FROM t JOIN g USING (q_id) WHERE contains(source, doc) AND wanted <> '' AND contains(d, wanted)),
@@ -160,8 +167,8 @@ ORACLE = {
     "bm25_topk": f"WITH {_GOLD} SELECT q_id, id AS row_id, score, rk FROM (SELECT *, {_RANK} AS rk FROM s) WHERE rk <= 10",
     "bm25_topk_evalrank": f"WITH {_GOLD_EVAL}, z AS (SELECT * FROM s UNION ALL SELECT q_id, row_id, 0.0 FROM gold, (SELECT row_id FROM chunks ORDER BY row_id LIMIT 50) x WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.q_id = gold.q_id AND s.id = x.row_id)) SELECT q_id, id AS row_id, score, rk FROM (SELECT *, {_RANK} AS rk FROM z) WHERE rk <= 50",
     "dense_topk": f"WITH {_DENSE} SELECT q_id, id, rk, score FROM (SELECT *, {_RANK} AS rk FROM near) WHERE rk <= 10",
-    "rrf_fuse": _BOTH.replace("LIMIT_", "100").replace("TOP_", "8"),
-    "rrf_eval50": _BOTH.replace("LIMIT_", "50").replace("TOP_", "10"),
+    "rrf_fuse": f"WITH {_scores('documents', 'doc_id', _ASKING, 'doc_id', 'text')}, {_DENSE}" + _FUSED.replace("LEX_", "s").replace("LIMIT_", "100").replace("TOP_", "8"),
+    "rrf_eval50": f"WITH {_scores('documents', 'doc_id', _ASKING, 'doc_id', 'text', _EVAL)}, {_DENSE}" + _ZERO + _FUSED.replace("LEX_", "z").replace("LIMIT_", "50").replace("TOP_", "10"),
     "fanout_merge": _PER_CONTAINER.replace("ORDER_", "score DESC, container_id, crk"),
     "fanout_merge_by_container": _PER_CONTAINER.replace("ORDER_", "container_id, crk"),
     "rerank_promote": _TOP_TEXT.replace("TOP_", "10") + """, p AS (SELECT t.q_id, t.id, row_number() OVER (PARTITION BY t.q_id ORDER BY rk DESC) AS p FROM t JOIN g USING (q_id) WHERE wanted <> '' AND contains(d, wanted))

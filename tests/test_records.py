@@ -50,7 +50,7 @@ def test_ingest(spark):
     events = spark.createDataFrame([(i, ts(i), "git.push", c) for i, c in enumerate(names)] + [(50, ts(0), "other", "t/a"), (51, ts(0), "git.push", None)], "event_id bigint, ts timestamp, type string, container_id string")
     jobs = spark.createDataFrame([("1", "t/d", "running"), ("2", "t/a", "sealed")], "id string, container_id string, status string")
     got = {r.event_id: r.decision for r in ingest.decided(events, state, jobs, "me").collect()}
-    assert got == dict(enumerate(["superseded", "own-writeback", "unchanged-source", "active-job-exists", "empty-repo", "bad-mode", "no-ingest-config", "source-path-missing", "no-repo", "bad-id", "enqueue"]))
+    assert got == dict(enumerate(["enqueue", "own-writeback", "unchanged-source", "active-job-exists", "empty-repo", "bad-mode", "no-ingest-config", "source-path-missing", "no-repo", "bad-id", "active-job-exists"]))
     queue = spark.createDataFrame([("a", "queued", None, None, None), ("b", "queued", None, None, None)], "id string, status string, started_at timestamp, finished_at timestamp, error string")
     changes = spark.createDataFrame([("a", "running", ts(1), None), ("a", "running", ts(2), None), ("a", "failed", ts(9), "boom"), ("a", "sealed", ts(10), None), ("b", "sealed", ts(3), None)], "id string, status string, at timestamp, error string")
     rows = {r.id: r for r in ingest.durations(ingest.moved_on(queue, changes)).collect()}
@@ -175,7 +175,10 @@ def test_documents(spark):
 
     rows = [("Name des Arbeitgebers", 0.0, 10.0, 9.0), ("Anschrift des Arbeitgebers", 0.0, 20.0, 9.0), ("12 Zahl", 0.0, 30.0, 9.0), ("Muster GmbH, 12345 Ort", 0.0, 40.0, 9.0), ("Fern AG", 0.0, 400.0, 9.0)]
     assert D.employers(lines(spark, *rows)).first().employer == "Muster GmbH"
-    assert D.employers(lines(spark, *rows[2:3], *rows[4:])).first().employer == "Fern AG"
+    assert D.employers(lines(spark, *rows[2:3], *rows[4:])).first().employer == "Zahl\nFern AG"  # a name may run over lines
+    assert D.employers(lines(spark, ("12 zahl", 0.0, 30.0, 9.0), *rows[4:])).first().employer == "Fern AG"
+    assert D.employers(lines(spark, ("Bayer AG Leverkusen / 51373 Leverkusen", 0.0, 30.0, 9.0))).first().employer == "Bayer AG Leverkusen"
+    assert D.employers(lines(spark, ("Name des Arbeitgebers: Werk 12345 GmbH", 0.0, 600.0, 9.0))).first().employer == "Werk 12345 GmbH"
     assert D.employers(lines(spark, ("nichts", 0.0, 0.0, 1.0))).first().employer is None
     ink = spark.createDataFrame([(1, 5.0, 5.0, 0), (2, 5.0, 5.0, 1), (3, 0.5, 5.0, 0), (4, 5.0, 5.0, None)], "seq int, w double, h double, ink_sum int")
     assert sorted(r.seq for r in D.visible(ink).collect()) == [2, 3]
@@ -185,6 +188,6 @@ def test_documents(spark):
     cells = [("Name", 0, 0), ("Wert", 300, 0), ("Druck", 0, 30), ("12,5", 300, 30), ("Druck", 0, 60), ("12,5", 300, 60)]
     page = spark.createDataFrame([("d", 1, i, t, float(x), float(y), 20.0, 10.0, None) for i, (t, x, y) in enumerate(cells)], GLYPH)
     files = spark.createDataFrame([("d", "a/x_77-1.pdf", "Pumpe"), ("e", "b.pdf", None)], "doc string, source string, prefix string")
-    assert [(r.doc, r.seq, r.text) for r in D.row_chunks(page, files).orderBy("doc", "seq").collect()] == [
-        ("d", 0, "Document 77 · Pumpe"), ("d", 1, "Pumpe — Name | Wert"), ("d", 2, "Pumpe — Druck | 12,5"), ("e", 0, "Document b"),
+    assert [(r.doc, r.text) for r in D.row_chunks(page, files).orderBy("doc", "at", "win").collect()] == [
+        ("d", "Datenblatt SNR 77 · Pumpe"), ("d", "Pumpe — Name | Wert"), ("d", "Pumpe — Druck | 12,5"), ("e", "Datenblatt SNR b"),
     ]

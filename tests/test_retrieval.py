@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as T
@@ -43,7 +46,7 @@ def test_many_terms_by_shuffle(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"wort{'abc'[i % 3]} immer") for i in range(30)], "id bigint, text string")
     asked = lexical.query_terms(spark.createDataFrame([(1, "worta immer"), (2, "wortb")], "q_id bigint, q string"), "q_id", F.col("q"))
     want = sorted(map(tuple, lexical.bm25(docs, "id", F.col("text"), asked).collect()))
-    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, lexical.bm25(docs, "id", F.col("text"), asked).collect())) == want
 
 
@@ -101,3 +104,24 @@ def test_chunkers(spark):
     assert sorted(r.id for r in chunk.first_by_content(rows, "text", ["source", "id"]).collect()) == [1, 3, 4]
     for f in (lambda d: chunk.paragraphs(d, "id", F.col("text")), lambda d: chunk.char_windows(d, "id", F.col("text")), lambda d: chunk.word_windows(d, "id", F.col("text"), F.col("p"))):
         assert f(doc(None)).count() == 0
+
+
+@pytest.mark.parametrize("seeds", [1, 64])
+def test_best_documents_in_blocks_and_by_joins(spark, rows, monkeypatch, seeds):
+    """Both plans give the k best of all scored pairs, with ties, empty texts and many blocks."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"wort{chr(97 + i)}" for i in range(20)] + ["der", "die"])
+    weights = np.r_[np.full(20, 0.5), 10, 10]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 12), p=weights / weights.sum())) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(900, None, 1, 2), (901, "", 1, 2), (902, texts[0], 1, 2)], "id bigint, text string, len int, q_id int")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary, 4))) for i in range(40)] + [(50, None), (51, "fehlt")], "q_id bigint, q string")
+    terms = lexical.query_terms(asked, "q_id", F.col("q"))
+    want = rows(lexical.top(lexical.bm25(docs, "id", F.col("text"), terms), 7).select("q_id", "id", "score", "rk"))
+    assert rows(lexical._top_by_joins(docs, "id", F.col("text"), terms, 7, "server", seeds).select("q_id", "id", "score", "rk")) == want
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 9)
+    monkeypatch.setattr(lexical, "BLOCK", 90)
+    assert rows(lexical.bm25_top(docs, "id", F.col("text"), terms, 7).select("q_id", "id", "score", "rk")) == want
+    names = docs.withColumn("id", F.format_string("d%04d", "id"))
+    got = lexical.bm25_top(names, "id", F.col("text"), terms, 7)
+    assert rows(got.select("q_id", F.substring("id", 2, 9).cast("long").alias("id"), "score", "rk")) == want
+    assert lexical.bm25_top(docs.where("false"), "id", F.col("text"), terms, 7).count() == 0 == lexical.bm25_top(docs, "id", F.col("text"), terms.where("false"), 7).count()
