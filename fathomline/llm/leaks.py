@@ -36,7 +36,8 @@ def least_distance(pattern: Sequence, text: Sequence) -> int:
 
 
 class Finder:
-    """Looks for passages of ``least`` words of the items, with at most ``budget`` word edits.
+    """Looks for passages of ``least`` words of the items, with at most ``budget`` word edits; an item of fewer
+    words is one passage that must stand as it is.
 
     An item is cut into pieces so short that any ``least`` consecutive words hold at least budget + 1
     whole ones; so one of them stands in the text unchanged.
@@ -51,9 +52,9 @@ class Finder:
             raise ValueError("the budget is too large for passages that short")
         pieces: dict[str, list] = {}
         for item, ws in self.items.items():
-            if len(ws) >= least:
-                for p in range(0, len(ws) - self.size + 1, self.size):
-                    pieces.setdefault(" " + " ".join(ws[p : p + self.size]) + " ", []).append((item, p))
+            size = self.size if len(ws) >= least else len(ws)
+            for p in range(0, len(ws) - size + 1, size):
+                pieces.setdefault(" " + " ".join(ws[p : p + size]) + " ", []).append((item, p))
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -80,6 +81,9 @@ class Finder:
                 if (item, word - p, p) in seen:
                     continue
                 own = self.items[item]
+                if len(own) < self.least:
+                    found[item] = 0, len(own)
+                    continue
                 a, b = p, p + self.size  # the longest run through this piece
                 while a and word - p + a - 1 >= 0 and own[a - 1] == ws[word - p + a - 1]:
                     a -= 1
@@ -104,11 +108,12 @@ class Finder:
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: Column, items: DataFrame, item_id: str, item_text: Column, least: int = 12, budget: int = 1) -> DataFrame:
-    """(doc_id, item_id, distance, run): documents that hold ``least`` consecutive words of an item with
-    at most ``budget`` words inserted, deleted or replaced; the least distance, and the longest run of
-    unchanged words around a piece.
+    """(doc_id, item_id, distance, run, words): documents that hold ``least`` consecutive words of an item with
+    at most ``budget`` words inserted, deleted or replaced; the least distance by Myers, the longest run of
+    unchanged words around a piece, and the words of a passage: ``least``, or all of a shorter item, which
+    must stand unchanged.
 
-    Items of fewer words, null and empty texts leak nothing; an item that occurs twice under one id is
+    Null and empty texts leak nothing; an item that occurs twice under one id is
     taken as its longest text. Documents are read whole, in the task that has them, without a shuffle:
     once for each ITEMS_AT_ONCE items.
     """
@@ -125,11 +130,12 @@ def find_leaks(docs: DataFrame, doc_id: str, text: Column, items: DataFrame, ite
         def scan(batches: Iterator[pa.RecordBatch], some: list = some) -> Iterator[pa.RecordBatch]:
             finder = Finder(some, least, budget)
             for batch in batches:
-                found = [(n, i, d, r) for n, line in enumerate(batch["line"].to_pylist()) for i, (d, r) in finder.find(line).items()]
+                found = [(n, i, d, r, min(least, len(finder.items[i]))) for n, line in enumerate(batch["line"].to_pylist()) for i, (d, r) in finder.find(line).items()]
                 if found:
-                    n, i, d, r = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(n)), pa.array(i, pa.int64()), pa.array(d, pa.int32()), pa.array(r, pa.int32())], names=["doc_id", "item_id", "distance", "run"])
+                    n, *values = zip(*found, strict=True)
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(n)), *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], names=["doc_id", "item_id", "distance", "run", "words"])
 
-        now = lines.mapInArrow(scan, f"doc_id {kind}, item_id bigint, distance int, run int")
+        now = lines.mapInArrow(scan, f"doc_id {kind}, item_id bigint, distance int, run int, words int")
         out = now if out is None else out.unionByName(now)
     return out

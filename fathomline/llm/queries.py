@@ -15,6 +15,10 @@ from fathomline.llm.split import split_oversized
 from fathomline.session import table
 
 
+#: How distinctive a shared term must be for a link of p4_found: the cases are defined without a least score.
+LEAST_SCORE = 0.0
+
+
 def _chunk_copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     glyph = F.coalesce(F.col("reader") == "glyph", F.lit(False))
     return collapse_copies(table(spark, folder, "chunks"), "row_id", F.col("text"), glyph)
@@ -46,7 +50,9 @@ def p4_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p4_links(spark, folder).select("q_id", "row_id").distinct()
+    """A link counts whatever its score; that of its most distinctive term is kept up to here."""
+    best = p4_links(spark, folder).groupBy("q_id", "row_id").agg(F.max(F.least("query_score", "row_score")).alias("score"))
+    return best.where(F.col("score") >= LEAST_SCORE).select("q_id", "row_id")
 
 
 def p4_question_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +87,8 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_leaks(spark, folder).where("run >= 12").select("doc_id", "item_id")
+    """A passage of 12 words stands unchanged where its least distance is 0."""
+    return p6_leaks(spark, folder).where("distance = 0 and words = 12").select("doc_id", "item_id")
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -101,13 +108,23 @@ def _model(spark: SparkSession, folder: str) -> ReadingModel:
     return fit_reading(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("source"), table(spark, folder, "reading_labels"))
 
 
-def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
-    levels = reading_levels(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("source"), F.col("lang"), _model(spark, folder))
+def _levels(spark: SparkSession, folder: str, model: ReadingModel | None) -> DataFrame:
+    levels = reading_levels(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("source"), F.col("lang"), model)
     return levels.withColumnRenamed("id", "doc_id")
 
 
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder, _model(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_levels(spark, folder).where("words >= 40 and lix >= 62").select("doc_id")
+    """Candidates are the documents whose grade reaches the least that the model can give to a text of the
+    wanted kind; of them the exact count decides. Without enough graded documents all are candidates."""
+    model = _model(spark, folder)
+    levels = _levels(spark, folder, model)
+    if model:
+        levels = levels.where(F.col("grade") >= model.least_grade(words=40, lix=62))
+    return levels.where("words >= 40 and lix >= 62").select("doc_id")
 
 
 def p8_profile(spark: SparkSession, folder: str) -> DataFrame:

@@ -83,6 +83,24 @@ class Trees:
         return out
 
 
+def least_prediction(trees: Trees, low: dict[int, float]) -> float:
+    """The least that trees can predict where the columns of ``low`` have at least these values: of each tree
+    the lowest leaf that such a row can reach."""
+    total = trees.base
+    for column, above, leaf in zip(trees.column, trees.above, trees.leaf, strict=True):
+        inner, todo, reached = len(column), [0], []
+        while todo:
+            node = todo.pop()
+            if node >= inner:
+                reached.append(leaf[node - inner])
+                continue
+            if low.get(int(column[node]), -np.inf) <= above[node]:
+                todo.append(2 * node + 1)
+            todo += [2 * node + 2] if np.isfinite(above[node]) else []
+        total += trees.rate * min(reached)
+    return total
+
+
 def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 120, depth: int = 3, rate: float = 0.08, bins: int = 32, least: float = 5.0) -> Trees:
     """Least-squares boosting with histogram splits; leaves hold ``least`` weight or more."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
@@ -144,6 +162,10 @@ class ReadingModel:
     def grades(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.trees.predict(x), self.score, self.grade)
 
+    def least_grade(self, **low: float) -> float:
+        """The grade that no text with at least these FEATURES falls below."""
+        return float(np.interp(least_prediction(self.trees, {FEATURES.index(k): v for k, v in low.items()}) - 1e-9, self.score, self.grade)) - 1e-9
+
 
 def fit_reading(docs: DataFrame, doc_id: str, text: Column, source: Column, labels: DataFrame, folds: int = 5) -> ReadingModel | None:
     """Fit on the graded documents, cross-validated over sources: a source is in one fold. The grades

@@ -64,6 +64,10 @@ def test_rows(spark):
     )
     got = leaks.find_leaks(docs, "doc_id", F.col("text"), items, "item_id", F.col("text"))
     assert sorted((r.doc_id, r.item_id) for r in got.where("run >= 12").collect()) == [(1, 1), (1, 1), (1, 4), (1, 4), (2, 1), (2, 4)]
+    assert sorted((r.doc_id, r.item_id) for r in got.where("distance = 0 and words = 12").collect()) == [(1, 1), (1, 1), (1, 4), (1, 4), (2, 1), (2, 4)]
+    short = spark.createDataFrame([(8, "Das ist ZU  kurz!", 1), (9, "das ist nicht zu kurz", 1)], "doc_id bigint, text string, item_id int")
+    assert [tuple(r) for r in leaks.find_leaks(short, "doc_id", F.col("text"), items, "item_id", F.col("text")).collect()] == [(8, 2, 0, 2, 2), (9, 2, 0, 2, 2)]
+    assert leaks.find_leaks(short.select("doc_id", F.lit("zu wenig kurz").alias("text")), "doc_id", F.col("text"), items, "item_id", F.col("text")).count() == 0
     assert leaks.find_leaks(docs, "doc_id", F.col("text"), items.where("false"), "item_id", F.col("text")).count() == 0
     assert leaks.find_leaks(docs.where("false"), "doc_id", F.col("text"), items, "item_id", F.col("text")).count() == 0
 

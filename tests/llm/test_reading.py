@@ -29,6 +29,18 @@ def test_trees_fit_and_calibration_rises():
     assert (np.diff(b) > 0).all() and (np.diff(a) > 0).all()
 
 
+def test_least_grade_bounds_all_texts_of_a_kind():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, len(R.FEATURES)))
+    at = R.FEATURES.index("lix")
+    y = 1 + 3 * x[:, at] + 0.3 * x[:, 0] + 0.2 * rng.standard_normal(3000)
+    trees = R.fit_trees(x[:1500], y[:1500], np.ones(1500))
+    model = R.ReadingModel(trees, np.array([0.0, 5.0]), np.array([1.0, 4.0]), [])
+    kind = (x[:, at] >= 0.7) & (x[:, 0] >= 0.2)
+    least = model.least_grade(lix=0.7, words=0.2)
+    assert (model.grades(x[kind]) >= least).all() and least > model.least_grade(lix=0.1) and (model.grades(x) < least).mean() > 0.3
+
+
 EASY = "Der Ball ist rot. Das Haus ist neu. Wir sind da. Ein Hund kam."
 HARD = "Ungeachtet der durchgeführten Verwaltungsvereinfachung obliegt der zuständigen Dienststelle die abschließende Beurteilung, inwieweit einzelne Bestandteile aufgrund fehlender Nachweisführung nachträglich dokumentiert werden müssen."
 
