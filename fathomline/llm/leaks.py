@@ -92,18 +92,23 @@ class Finder:
                 seen.update((item, word - p, x) for x in range(a - a % self.size, b, self.size))
                 best, run = found.get(item, (self.least, 0))
                 if best:
-                    best = min(best, self.distance(own, ws, p, word))
+                    best = min(best, self.distance(own, ws, p, word, a, b))
                 found[item] = best, max(run, b - a)
         return {i: (d, r) for i, (d, r) in found.items() if d <= self.budget}
 
-    def distance(self, own: list[str], ws: list[str], p: int, at: int) -> int:
-        """The least distance of a passage of the item through its piece at p, found at word ``at``."""
-        best = self.least
+    def distance(self, own: list[str], ws: list[str], p: int, at: int, a: int, b: int) -> int:
+        """The least distance of a passage of the item through its piece at p, found at word ``at``, or one
+        beyond the budget. The words a to b around the piece are unchanged; a passage that begins before
+        them or ends after them has an edit on that side, so it needn't be compared if that is too many."""
+        best = self.budget + 1
         for s in range(max(0, p + self.size - self.least), min(p, len(own) - self.least) + 1):
+            edits = (s < a) + (s + self.least > b)
+            if edits == 0:
+                return 0
+            if edits >= best:
+                continue
             low = max(0, at - (p - s) - self.budget)
             best = min(best, least_distance(own[s : s + self.least], ws[low : at - (p - s) + self.least + self.budget]))
-            if not best:
-                break
         return best
 
 
