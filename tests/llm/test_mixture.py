@@ -38,6 +38,28 @@ def test_copies_are_the_floors_of_one_line(spark):
     assert sorted(map(tuple, M.copies(rows.repartition(7), rates).collect())) == sorted(map(tuple, chosen))
 
 
+def test_all_present_sources_reach_their_share(spark):
+    """Without a total: the scarcest source sets it, and the shares are exact up to about one document."""
+    rows = sized(spark)
+    rates = M.plan(rows, targets(spark))
+    chosen = M.copies(rows, rates)
+    plan = {r.source: r for r in rates.collect()}
+    assert not any(r.capped for r in plan.values()) and plan["small"].rate == pytest.approx(3)
+    by = {r.source: r for r in chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("m")).collect()}
+    total = sum(r.t for r in by.values())
+    for name in ("big", "small", "mid"):
+        assert abs(by[name].t - plan[name].target_share * total) <= 401 and by[name].m <= plan[name].max_repeats
+    order = sorted(rows.where("source = 'mid'").collect(), key=lambda r: r.tokens)
+    copies = {r.id: r.copies for r in chosen.where("source = 'mid'").collect()}
+    rate, sums = plan["mid"].rate, [0]
+    for r in order:
+        sums.append(sums[-1] + copies.get(r.id, 0))
+    lengths = [r.tokens for r in order]
+    for i in range(1, len(order)):  # between lengths the copies are the prefix sums' whole numbers
+        if lengths[i] != lengths[i - 1]:
+            assert abs(sums[i] - i * rate) < 1
+
+
 @pytest.mark.skipif(not Path(M.TOKENIZER).exists(), reason="no vocabulary file")
 def test_mix(spark):
     docs = spark.createDataFrame(
