@@ -7,7 +7,12 @@ references each table made to it; the references of a key wait while nothing is
 resolves them, the last deletion reopens them.
 
 A key's events are cut into days, and each day begins with what the days before it left (a sum over
-days, small and pre-aggregated), so the events of one hot key spread over as many tasks as it has days.
+days, small and pre-aggregated), so the events of one hot key spread over as many tasks as it has days. A
+day in which a key has more than HOT events is cut again: its changes, added up by time, by time of day, and
+its references by their row, each part with the changes it needs.
+
+The state is kept in layers, one per increment: what the increment changed per key, and its references. An
+increment reads of them only the keys it touches and rewrites nothing; MOST_LAYERS layers are added up to one.
 """
 
 from __future__ import annotations
@@ -18,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.keys import col, plain_key, utc_month
-from fathomline.session import materialize
+from fathomline.session import broadcast_below, materialize
 
 #: (scope, key, t, step): a parent arrives (+1) or is deleted (-1).
 CHANGES = "scope string, key string, t timestamp, step bigint"
 #: (tab, row_id, scope, key, t): a reference.
 REFERENCES = "tab string, row_id bigint, scope string, key string, t timestamp"
 DAY = 86_400_000_000
+#: Events of a key in a day that one task takes, and layers of the state that are added up to one.
+HOT, MOST_LAYERS = 100_000, 16
 
 
 def parent_changes(rows: DataFrame, key, arrived, gone, scope=None) -> DataFrame:
@@ -48,65 +55,108 @@ def _day(t) -> F.Column:
 
 @dataclass
 class OrphanState:
-    """What is kept between increments: per key the parents alive, per key and table the references
-    made, all up to ``until``; and the histories, which only late events read."""
+    """What is kept between increments, in written layers: steps (scope, key, step), the change of the parents
+    alive per key; made (scope, key, tab, refs), the references made per key and table; and the events
+    themselves, of which transitions and late events read the keys they touch."""
 
-    alive: DataFrame  # scope, key, alive
-    made: DataFrame  # scope, key, tab, refs
+    steps: list[DataFrame]
+    made: list[DataFrame]
     changes: list[DataFrame]
     refs: list[DataFrame]
 
     @classmethod
     def empty(cls, spark: SparkSession) -> OrphanState:
-        return cls(spark.createDataFrame([], "scope string, key string, alive bigint"), spark.createDataFrame([], "scope string, key string, tab string, refs bigint"), [], [])
+        return cls([spark.createDataFrame([], "scope string, key string, step bigint")], [spark.createDataFrame([], "scope string, key string, tab string, refs bigint")], [], [])
+
+    def alive(self, keys: DataFrame | None = None) -> DataFrame:
+        """(scope, key, alive) of the keys with parents alive; of the given keys only."""
+        parts = [d if keys is None else d.join(keys, ["scope", "key"], "left_semi") for d in self.steps]
+        return _union(parts).groupBy("scope", "key").agg(F.sum("step").alias("alive")).where("alive <> 0")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _touched(*events: DataFrame) -> DataFrame:
+    """The keys of events, written; broadcast where they are few."""
+    return broadcast_below(materialize(_union([e.select("scope", "key") for e in events]).distinct()), 64 << 20)
 
 
-def judge(refs: DataFrame, changes: DataFrame, alive: DataFrame | None = None) -> DataFrame:
+def judge(refs: DataFrame, changes: DataFrame, alive: DataFrame | None = None, hot: int | None = None) -> DataFrame:
     """refs with ``orphan``: whether nothing was alive under their key at their time. ``alive`` has the
     keys' parents alive before the first of these events."""
-    none = F.lit(None)
-    events = refs.select("scope", "key", "t", F.lit(2).alias("turn"), F.lit(0).cast("long").alias("step"), "tab", "row_id").unionByName(
-        changes.select("scope", "key", "t", F.when(F.col("step") > 0, 0).otherwise(1).alias("turn"), "step", none.cast("string").alias("tab"), none.cast("long").alias("row_id"))
-    )
-    events = events.withColumn("day", _day(F.col("t")))
-    days = events.groupBy("scope", "key", "day").agg(F.sum("step").alias("step"))
+    none, key, hot = F.lit(None), ["scope", "key"], hot or HOT
+    steps = changes.select(*key, "t", F.when(F.col("step") > 0, 0).otherwise(1).alias("turn"), "step").groupBy(*key, "t", "turn").agg(F.sum("step").alias("step"))
+    steps = steps.withColumns({"day": _day(F.col("t")), "tab": none.cast("string"), "row_id": none.cast("long")})
+    asked = refs.select(*key, "t", F.lit(2).alias("turn"), F.lit(0).cast("long").alias("step"), _day(F.col("t")).alias("day"), "tab", "row_id")
+    sizes = steps.select(*key, "day", F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(asked.select(*key, "day", F.lit(0).alias("c"), F.lit(1).alias("r")))
+    sizes = sizes.groupBy(*key, "day").agg(F.sum("c").alias("c"), F.sum("r").alias("r")).where(F.col("c") + F.col("r") > hot)
+    sizes = materialize(sizes.select(*key, "day", F.ceil(F.col("c") / hot).cast("int").alias("times"), F.ceil(F.col("r") / hot).cast("int").alias("rows")))
+    if sizes.isEmpty():
+        steps, asked = (x.withColumns({"part": F.lit(0), "times": F.lit(1)}) for x in (steps, asked))
+    else:
+        sizes = broadcast_below(sizes, 64 << 20)
+        parts = lambda x: x.join(sizes, [*key, "day"], "left").fillna(1, ["times", "rows"])
+        steps = parts(steps).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("rows"), F.lit(1)) - 1))).drop("rows")
+        asked = parts(asked).withColumn("part", F.pmod(F.xxhash64("tab", "row_id"), F.greatest(F.col("rows"), F.lit(1))).cast("int")).drop("rows")
+    events = steps.unionByName(asked)
+    within = F.floor(F.pmod(F.unix_micros("t"), F.lit(DAY)) * F.greatest(F.col("times"), F.lit(1)) / F.lit(DAY)).cast("long")
+    events = events.withColumn("slice", F.col("day") * 1_000_000 + within).drop("day", "times")
+    slices = events.groupBy(*key, "slice").agg(F.sum(F.when(F.col("part") == 0, F.col("step")).otherwise(0)).alias("step"), F.max("part").alias("last"))
     if alive is not None:
-        days = days.unionByName(alive.select("scope", "key", F.lit(-(2**40)).cast("long").alias("day"), F.col("alive").alias("step")))
-    before = Window.partitionBy("scope", "key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.withColumn("step", F.coalesce(F.sum("step").over(before), F.lit(0))).where("step <> 0")
-    events = events.unionByName(carried.select("scope", "key", none.cast("timestamp").alias("t"), F.lit(-1).alias("turn"), "step", none.cast("string").alias("tab"), none.cast("long").alias("row_id"), "day"))
-    so_far = Window.partitionBy("scope", "key", "day").orderBy(F.col("t").asc_nulls_first(), "turn").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("alive", F.sum("step").over(so_far)).where("turn = 2").select("tab", "row_id", "scope", "key", "t", (F.col("alive") <= 0).alias("orphan"))
+        slices = slices.unionByName(alive.select(*key, F.lit(-(2**62)).cast("long").alias("slice"), F.col("alive").alias("step"), F.lit(0).alias("last")))
+    before = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.withColumn("step", F.coalesce(F.sum("step").over(before), F.lit(0))).where("step <> 0").withColumn("part", F.explode(F.sequence(F.lit(0), "last")))
+    events = events.unionByName(carried.select(*key, none.cast("timestamp").alias("t"), F.lit(-1).alias("turn"), "step", none.cast("string").alias("tab"), none.cast("long").alias("row_id"), "part", "slice"))
+    so_far = Window.partitionBy(*key, "part", "slice").orderBy(F.col("t").asc_nulls_first(), "turn").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("alive", F.sum("step").over(so_far)).where("turn = 2").select("tab", "row_id", *key, "t", (F.col("alive") <= 0).alias("orphan"))
 
 
 def advance(state: OrphanState, refs: DataFrame, changes: DataFrame) -> tuple[OrphanState, DataFrame]:
     """Take in the events of an increment, none older than those before: (new state, judged refs)."""
-    judged = judge(refs, changes, state.alive)
-    alive = state.alive.unionByName(changes.groupBy("scope", "key").agg(F.sum("step").alias("alive")))
-    alive = alive.groupBy("scope", "key").agg(F.sum("alive").alias("alive")).where("alive <> 0")
-    made = state.made.unionByName(refs.groupBy("scope", "key", "tab").agg(F.count(F.lit(1)).alias("refs")))
-    made = made.groupBy("scope", "key", "tab").agg(F.sum("refs").alias("refs"))
-    return OrphanState(materialize(alive), materialize(made), [*state.changes, changes], [*state.refs, refs]), judged
+    judged = judge(refs, changes, state.alive(_touched(refs, changes)) if state.changes else None)
+    steps = materialize(changes.groupBy("scope", "key").agg(F.sum("step").alias("step")).where("step <> 0"))
+    made = materialize(refs.groupBy("scope", "key", "tab").agg(F.count(F.lit(1)).alias("refs")))
+    layers, counts = [*state.steps, steps], [*state.made, made]
+    if len(layers) > MOST_LAYERS:
+        layers = [materialize(_union(layers).groupBy("scope", "key").agg(F.sum("step").alias("step")).where("step <> 0"))]
+        counts = [materialize(_union(counts).groupBy("scope", "key", "tab").agg(F.sum("refs").alias("refs")))]
+    return OrphanState(layers, counts, [*state.changes, changes], [*state.refs, refs]), judged
+
+
+def transitions(state: OrphanState, refs: DataFrame, changes: DataFrame) -> DataFrame:
+    """(tab, row_id, scope, key, change) of the references made before an increment: those whose waiting the
+    increment's arrivals end ('resolved') and those that its deletions leave waiting again ('reopened'), as
+    the state stands before and after it. Only keys with changes are read."""
+    touched = _touched(changes)
+    step = changes.groupBy("scope", "key").agg(F.sum("step").alias("step"))
+    both = step.join(state.alive(touched), ["scope", "key"], "left").select("scope", "key", F.coalesce("alive", F.lit(0)).alias("was"), (F.coalesce("alive", F.lit(0)) + F.col("step")).alias("now"))
+    flips = both.withColumn("change", F.when((F.col("was") <= 0) & (F.col("now") > 0), "resolved").when((F.col("was") > 0) & (F.col("now") <= 0), "reopened")).where("change is not null")
+    flips = broadcast_below(materialize(flips.select("scope", "key", "change")), 64 << 20)
+    old = _union(state.refs) if state.refs else refs.where("false")
+    return old.join(flips, ["scope", "key"]).select("tab", "row_id", "scope", "key", "change")
 
 
 def amend(state: OrphanState, refs: DataFrame, changes: DataFrame) -> tuple[OrphanState, DataFrame]:
     """Take in late events: (new state, the new and the touched old references judged again). Old
-    references of keys without a late change keep their verdict."""
-    touched = changes.select("scope", "key").distinct()
-    all_changes, todo = changes, refs
-    for old in state.changes:
-        all_changes = all_changes.unionByName(old)
-    for old in state.refs:
-        todo = todo.unionByName(old.join(touched, ["scope", "key"], "left_semi"))
-    wanted = todo.select("scope", "key").distinct()
-    judged = judge(todo, all_changes.join(wanted, ["scope", "key"], "left_semi"))
+    references of keys without a late change keep their verdict; of the history only keys of these events
+    are read."""
+    late = _touched(changes)
+    todo = _union([refs, *(old.join(late, ["scope", "key"], "left_semi") for old in state.refs)])
+    wanted = _touched(refs, changes)
+    judged = judge(todo, _union([changes, *(old.join(wanted, ["scope", "key"], "left_semi") for old in state.changes)]))
     new, _ = advance(state, refs, changes)
     return new, judged
 
 
 def waiting(state: OrphanState) -> DataFrame:
     """(tab, waiting): the references of each table that wait for a parent as the state stands."""
-    return state.made.join(state.alive, ["scope", "key"], "left").groupBy("tab").agg(F.sum(F.when(F.coalesce("alive", F.lit(0)) <= 0, F.col("refs")).otherwise(0)).alias("waiting"))
+    made = _union(state.made).groupBy("scope", "key", "tab").agg(F.sum("refs").alias("refs"))
+    return made.join(state.alive(), ["scope", "key"], "left").groupBy("tab").agg(F.sum(F.when(F.coalesce("alive", F.lit(0)) <= 0, F.col("refs")).otherwise(0)).alias("waiting"))
 
 
 def replay(refs: DataFrame, changes: DataFrame, bounds: list) -> tuple[DataFrame, list[OrphanState]]:

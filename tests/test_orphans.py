@@ -52,7 +52,7 @@ def test_late_events_amend(spark):
     assert got == {1: False, 2: False, 3: False, 4: False, 5: False, 6: True, 50: False}
 
 
-def test_against_brute_force_with_a_hot_key(spark):
+def test_against_brute_force_with_a_hot_key(spark, monkeypatch):
     rng = random.Random(5)
     key = lambda: rng.choice(["hot", "k1", "k2", "k3"])
     parents = [(i, key(), a, rng.choice([None, a + rng.randrange(1, 300)]), "x") for i in range(120) for a in [rng.randrange(0, 900)]]
@@ -61,6 +61,28 @@ def test_against_brute_force_with_a_hot_key(spark):
     r, c = frames(spark, refs, parents)
     assert orphans(O.judge(r, c)) == want
     assert orphans(O.replay(r, c, [at(200), at(201), at(700)])[0]) == want
+    for hot in (3, 10, 40):  # a key's days are cut again
+        assert orphans(O.judge(r, c, hot=hot)) == want
+    monkeypatch.setattr(O, "MOST_LAYERS", 2)
+    monkeypatch.setattr(O, "HOT", 5)
+    judged, states = O.replay(r, c, [at(h) for h in (100, 200, 300, 500, 700)])
+    assert orphans(judged) == want and len(states[-1].steps) <= 3
+    late = F.col("t") < F.lit(at(400))
+    state, first = O.advance(O.OrphanState.empty(spark), r.where(~late), c.where(~late))
+    _, again = O.amend(state, r.where(late), c.where(late))
+    verdict = {(x.row_id, x.key): x.orphan for x in first.collect()} | {(x.row_id, x.key): x.orphan for x in again.collect()}
+    assert sorted(k for k, o in verdict.items() if o) == want
+
+
+def test_transitions(spark):
+    refs, changes = frames(spark)
+    early, late = F.col("t") < F.lit(at(15)), F.col("t") >= F.lit(at(15))
+    state, _ = O.advance(O.OrphanState.empty(spark), refs.where(early), changes.where(early))
+    got = lambda low, high: sorted((r.row_id, r.key, r.change) for r in O.transitions(state, refs.where("false"), changes.where(late & (F.col("t") >= F.lit(at(low))) & (F.col("t") < F.lit(at(high))))).collect())
+    assert got(15, 25) == [(1, "doc-a", "reopened"), (2, "doc-a", "reopened")]
+    state, _ = O.advance(state, refs.where(late & (F.col("t") < F.lit(at(25)))), changes.where(late & (F.col("t") < F.lit(at(25)))))
+    assert got(25, 50) == [(n, "doc-a", "resolved") for n in (1, 2, 3, 4)]
+    assert O.transitions(O.OrphanState.empty(spark), refs, changes).count() == 0
 
 
 def test_empty_tables(spark):
