@@ -32,6 +32,8 @@ REFERENCES = "tab string, row_id bigint, scope string, key string, t timestamp"
 DAY = 86_400_000_000
 #: Events of a key in a day that one task takes, and layers of the state that are added up to one.
 HOT, MOST_LAYERS = 100_000, 16
+#: Bytes of a table of keys that is broadcast at most.
+BROADCAST_BYTES = 8 << 20
 
 
 def parent_changes(rows: DataFrame, key, arrived, gone, scope=None) -> DataFrame:
@@ -83,7 +85,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _touched(*events: DataFrame) -> DataFrame:
     """The keys of events, written; broadcast where they are few."""
-    return broadcast_below(materialize(_union([e.select("scope", "key") for e in events]).distinct()), 64 << 20)
+    return broadcast_below(materialize(_union([e.select("scope", "key") for e in events]).distinct()), BROADCAST_BYTES)
 
 
 def judge(refs: DataFrame, changes: DataFrame, alive: DataFrame | None = None, hot: int | None = None) -> DataFrame:
@@ -99,7 +101,7 @@ def judge(refs: DataFrame, changes: DataFrame, alive: DataFrame | None = None, h
     if sizes.isEmpty():
         steps, asked = (x.withColumns({"part": F.lit(0), "times": F.lit(1)}) for x in (steps, asked))
     else:
-        sizes = broadcast_below(sizes, 64 << 20)
+        sizes = broadcast_below(sizes, BROADCAST_BYTES)
         parts = lambda x: x.join(sizes, [*key, "day"], "left").fillna(1, ["times", "rows"])
         steps = parts(steps).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("rows"), F.lit(1)) - 1))).drop("rows")
         asked = parts(asked).withColumn("part", F.pmod(F.xxhash64("tab", "row_id"), F.greatest(F.col("rows"), F.lit(1))).cast("int")).drop("rows")
@@ -136,7 +138,7 @@ def transitions(state: OrphanState, refs: DataFrame, changes: DataFrame) -> Data
     step = changes.groupBy("scope", "key").agg(F.sum("step").alias("step"))
     both = step.join(state.alive(touched), ["scope", "key"], "left").select("scope", "key", F.coalesce("alive", F.lit(0)).alias("was"), (F.coalesce("alive", F.lit(0)) + F.col("step")).alias("now"))
     flips = both.withColumn("change", F.when((F.col("was") <= 0) & (F.col("now") > 0), "resolved").when((F.col("was") > 0) & (F.col("now") <= 0), "reopened")).where("change is not null")
-    flips = broadcast_below(materialize(flips.select("scope", "key", "change")), 64 << 20)
+    flips = broadcast_below(materialize(flips.select("scope", "key", "change")), BROADCAST_BYTES)
     old = _union(state.refs) if state.refs else refs.where("false")
     return old.join(flips, ["scope", "key"]).select("tab", "row_id", "scope", "key", "change")
 
