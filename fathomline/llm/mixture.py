@@ -18,6 +18,8 @@ from fathomline.session import materialize
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of a vocabulary file that is sent to the executors at most.
 MOST_BYTES = 64 << 20
+#: Share of the total that sources which run out may leave unfilled.
+SLACK = 0.01
 #: Evenly spaced offsets of a source that are tried.
 OFFSETS = 32
 
@@ -50,22 +52,36 @@ def token_counts(docs: DataFrame, text: Column, path: str = TOKENIZER, pattern:
     return rows.mapInArrow(count, f"id {rows.schema['id'].dataType.simpleString()}, source string, tokens bigint")
 
 
+def largest_total(sources: list[tuple[float, float]], slack: float = SLACK) -> float:
+    """Of sources (share, most tokens): the largest total of which those that run out lack ``slack`` together."""
+    share = most = total = 0.0
+    sources = sorted(sources, key=lambda s: s[1] / s[0])
+    for n, (own, tokens) in enumerate(sources):
+        share, most, total = share + own, most + tokens, tokens / own
+        following = sources[n + 1][1] / sources[n + 1][0] if n + 1 < len(sources) else float("inf")
+        if share > slack and most / (share - slack) <= following:
+            return max(total, most / (share - slack))
+    return total
+
+
 def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """(source, target_share, max_repeats, docs, tokens, rate, capped): the expected copies of each
     document of a source, so that the source has its share of ``total`` tokens or, if that is less,
     ``max_repeats`` copies of everything it has.
 
-    By default the total is the largest for which no source with documents falls short, so that all of them
-    reach their share. Sources are compared in lower case without outer blanks; a source listed twice has
-    the sum of its shares and the larger cap; unlisted sources have no row, absent ones no documents and
-    rate 0, and the others keep their proportions.
+    By default the total is the largest for which the sources that run out leave at most SLACK of it
+    unfilled (``largest_total``); so the others have their share of what is taken up to that. Sources are
+    compared in lower case without outer blanks; a source listed twice has the sum of its shares and the
+    larger cap; unlisted sources have no row, absent ones no documents and rate 0, and the others keep
+    their proportions.
     """
     wanted = targets.select(plain_key("source").alias("source"), "target_share", "max_repeats").where("source is not null")
     wanted = wanted.groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     have = sized.where("tokens > 0").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
     both = materialize(wanted.join(have, "source", "left").fillna(0, ["docs", "tokens"]))
     if total is None:
-        total = both.where("tokens > 0 and target_share > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0] or 0
+        rows = both.where("tokens > 0 and target_share > 0").select("target_share", F.col("tokens") * F.col("max_repeats")).collect()  # a row per listed source
+        total = largest_total([tuple(r) for r in rows])
     rate = F.when(F.col("tokens") > 0, F.col("target_share") * total / F.col("tokens")).otherwise(0.0)
     cap = F.col("max_repeats").cast("double")
     return both.select("*", F.least(rate, cap).alias("rate"), (rate > cap * (1 + 1e-9)).alias("capped"))

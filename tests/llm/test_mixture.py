@@ -42,6 +42,9 @@ def test_all_present_sources_reach_their_share(spark):
     """Without a total: the scarcest source sets it, and the shares are exact up to about one document."""
     rows = sized(spark)
     rates = M.plan(rows, targets(spark))
+    assert rates.where("source = 'small'").first().rate == 3 and M.largest_total([(0.5, 100), (0.5, 1000)], 0) == 200
+    assert M.largest_total([(0.01, 1), (0.49, 490), (0.5, 1000)], 0.01) == pytest.approx(491 / 0.49) and M.largest_total([], 0.1) == 0
+    rates = M.plan(rows, targets(spark), round(rates.where("source = 'small'").select(F.col("tokens") * 3 / F.col("target_share")).first()[0]))
     chosen = M.copies(rows, rates)
     plan = {r.source: r for r in rates.collect()}
     assert not any(r.capped for r in plan.values()) and plan["small"].rate == pytest.approx(3)
