@@ -46,7 +46,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:
     gold, chunks = table(spark, folder, "gold"), table(spark, folder, "chunks")
     links = distinctive_links(gold, "q_id", F.col("q"), chunks, "row_id", F.col("text"), 6)
-    return links.select(F.col("query_id").alias("q_id"), "row_id", "term", "query_score", "row_score")
+    return links.select(F.col("query_id").alias("q_id"), "row_id", "term", F.round("query_score", 2).alias("query_score"), F.round("row_score", 2).alias("row_score"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,11 +57,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_question_terms(spark: SparkSession, folder: str) -> DataFrame:
     terms = distinctive_in(table(spark, folder, "gold"), "q_id", F.col("q"), table(spark, folder, "chunks"), "row_id", F.col("text"))
-    return terms.withColumnRenamed("id", "q_id")
+    return terms.withColumnRenamed("id", "q_id").withColumn("score", F.round("score", 2))
 
 
 def p4_chunk_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return distinctive_terms(table(spark, folder, "chunks"), "row_id", F.col("text")).withColumnRenamed("id", "row_id")
+    return distinctive_terms(table(spark, folder, "chunks"), "row_id", F.col("text")).withColumnRenamed("id", "row_id").withColumn("score", F.round("score", 2))
 
 
 def _routed(spark: SparkSession, folder: str):
@@ -82,13 +82,17 @@ def p5_card(spark: SparkSession, folder: str) -> DataFrame:
     return loss_card(_routed(spark, folder))
 
 
-def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), "doc_id", F.col("text"), table(spark, folder, "eval_items"), "item_id", F.col("text"))
 
 
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id", "distance", "words")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """A passage of 12 words stands unchanged where its least distance is 0."""
-    return p6_leaks(spark, folder).where("distance = 0 and words = 12").select("doc_id", "item_id")
+    return _leaks(spark, folder).where("distance = 0 and words = 12").select("doc_id", "item_id")
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +162,45 @@ keyed AS (
   FROM base)
 """
 
+_TERMS = r"regexp_extract_all(replace(lower(coalesce({}, '')), 'ß', 'ss'), '\p{{L}}{{2,}}|\p{{Nd}}{{2,}}')"
+
+
+def _tails(rows: str, t: str = "") -> str:
+    """Of rows (id, term, k, n, in_all, df, size_all): the adjusted score by sums of log-gammas, as table sc with
+    the suffix ``t``."""
+    lf = lambda x: f"lgamma({x} + 1)"
+    pmf = lambda i: f"({lf('n')} - {lf(i)} - {lf(f'n - {i}')} + {lf('size_all - n')} - {lf(f'in_all - {i}')} - {lf(f'size_all - n - in_all + {i}')} + {lf('in_all')} + {lf('size_all - in_all')} - {lf('size_all')})"
+    return f"""pr{t} AS (SELECT *, k * size_all > n * in_all AS up, greatest(0, n + in_all - size_all) AS low FROM {rows}),
+ex{t} AS (SELECT *, CASE WHEN k <= low THEN [] WHEN up THEN range(k, least(n, in_all, k + 400) + 1) ELSE range(low, k) END AS steps FROM pr{t}),
+su{t} AS (SELECT id, term, k, n, in_all, df, up, low, CASE WHEN k <= low THEN 0 ELSE list_sum(list_transform(steps, lambda i: exp({pmf('i')} - CASE WHEN up THEN {pmf('k')} ELSE 0 END))) END AS total, CASE WHEN up THEN {pmf('k')} ELSE 0 END AS first FROM ex{t}),
+lp{t} AS (SELECT id, term, k, n, in_all, df, CASE WHEN k <= low THEN 0 WHEN up THEN least(0, first + ln(total)) ELSE ln(1 - least(total, 1 - 1e-16)) END AS log_p FROM su{t}),
+rk{t} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY log_p, term) AS rank, count(*) OVER (PARTITION BY id) AS tests FROM lp{t}),
+sc{t} AS (SELECT id, term, k, n, in_all, df, -least(min(log_p + ln(tests / rank)) OVER (PARTITION BY id ORDER BY rank DESC ROWS UNBOUNDED PRECEDING), 0) AS score FROM rk{t})"""
+
+
+_COUNTS = f"""WITH cw AS (SELECT row_id AS id, {_TERMS.format('text')} AS w FROM chunks),
+ct AS (SELECT id, term, any_value(n) AS n, count(*) AS k FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM cw) GROUP BY 1, 2),
+cs AS (SELECT term, CAST(sum(k) AS BIGINT) AS in_all, count(*) AS df FROM ct GROUP BY 1), tot AS (SELECT CAST(sum(len(w)) AS BIGINT) AS size_all FROM cw),
+cr AS (SELECT ct.*, in_all, df, size_all FROM ct JOIN cs USING (term) CROSS JOIN tot),
+qw AS (SELECT q_id AS id, {_TERMS.format('q')} AS w FROM gold), qt AS (SELECT id, term, any_value(n) AS n, count(*) AS k FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM qw) GROUP BY 1, 2),
+qr AS (SELECT qt.*, coalesce(in_all, 0) + k AS in_all, coalesce(df, 0) AS df, size_all + n AS size_all FROM qt LEFT JOIN cs USING (term) CROSS JOIN tot)"""
+_P6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '\p{L}+|\p{Nd}+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '\p{L}+|\p{Nd}+') AS w FROM eval_items WHERE text IS NOT NULL),
+p AS (SELECT item_id, w[i:i + 11] AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
+win AS (SELECT doc_id, len_, w[i:i + len_ - 1] AS p FROM (SELECT doc_id, w, len_, unnest(range(1, len(w) - len_ + 2)) AS i FROM d, (VALUES (11), (12), (13)) v(len_))),
+whole AS (SELECT DISTINCT doc_id, item_id FROM win JOIN p ON len_ = 12 AND array_to_string(win.p, ' ') = array_to_string(p.p, ' ')),
+pm AS (SELECT item_id, j, array_to_string(p[1:j - 1], ' ') || ' _ ' || array_to_string(p[j + 1:12], ' ') AS g, array_to_string(list_concat(p[1:j - 1], p[j + 1:12]), ' ') AS g11, array_to_string(p, ' ') AS g12 FROM (SELECT *, unnest(range(1, 13)) AS j FROM p)),
+wm AS (SELECT doc_id, len_, j, array_to_string(p[1:j - 1], ' ') || ' _ ' || array_to_string(p[j + 1:12], ' ') AS g, array_to_string(list_concat(p[1:j - 1], p[j + 1:13]), ' ') AS g12 FROM (SELECT *, unnest(range(1, len_ + 1)) AS j FROM win WHERE len_ > 11)),
+near AS (SELECT doc_id, item_id FROM wm JOIN pm ON len_ = 12 AND wm.g = pm.g UNION SELECT doc_id, item_id FROM wm JOIN pm ON len_ = 13 AND wm.g12 = pm.g12 UNION SELECT doc_id, item_id FROM win JOIN pm ON len_ = 11 AND array_to_string(win.p, ' ') = pm.g11),
+short AS (SELECT DISTINCT doc_id, item_id, len(e.w) AS words FROM e JOIN d ON len(e.w) BETWEEN 1 AND 11 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(e.w, ' ') || ' '))
+SELECT doc_id, item_id, 0 AS distance, 12 AS words FROM whole UNION ALL SELECT doc_id, item_id, 1, 12 FROM (SELECT * FROM near EXCEPT SELECT * FROM whole) UNION ALL SELECT doc_id, item_id, 0, CAST(words AS INT) FROM short"""
+
 ORACLE = {
+    "p4_chunk_terms": _COUNTS + ", " + _tails("cr") + " SELECT id AS row_id, term, k, n, in_all, df, round(score, 2) AS score FROM sc",
+    "p4_question_terms": _COUNTS + ", " + _tails("qr") + " SELECT id AS q_id, term, k, n, in_all, df, round(score, 2) AS score FROM sc",
+    "p4_links": f"{_COUNTS}, {_tails('cr')}, {_tails('qr', '_q')} SELECT q.id AS q_id, c.id AS row_id, term, round(q.score, 2) AS query_score, round(c.score, 2) AS row_score FROM sc c JOIN sc_q q USING (term) WHERE c.df <= 6",
+    "p6_leaks": _P6,
     "p1_found": _P1 + """, grouped AS (SELECT min(row_id) OVER (PARTITION BY g, key) AS first_row, row_id AS copy_row FROM keyed WHERE len(key) > 0)
 SELECT first_row, copy_row FROM grouped WHERE first_row <> copy_row""",
     "p3_found": "SELECT row_id FROM chunks WHERE length(text) > 1400",
