@@ -70,3 +70,44 @@ def upserted(now: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
 
 def isolation(value: Column) -> Column:
     return F.when(value == "soft", "soft").otherwise("hard")
+
+
+#: (kind, path, name, description, type, isolation, created_at): what was told of tenants, projects, containers.
+OVERLAY = "kind string, path string, name string, description string, type string, isolation string, created_at timestamp"
+
+
+def flat(containers: DataFrame) -> DataFrame:
+    """(path, tenant, project, id) of each container."""
+    parts = F.split("path", "/")
+    return containers.select("path", parts[0].alias("tenant"), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "/").alias("project"), F.element_at(parts, -1).alias("id"))
+
+
+def created(requests: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(overlay, answers) after requests (request_id, kind, tenant, path, id, name, description, type, isolation,
+    created_at). Each part of a path must fit SEGMENT, else the answer's status is 400 and nothing changes. The
+    latest request for a path counts; a project's unknown tenant is added, isolated hard."""
+    strip = lambda c: F.btrim(F.coalesce(c, F.lit("")), F.lit("/ "))
+    inner = F.filter(F.split(strip(F.col("path")), "/"), lambda s: s != "")
+    tenant, own = F.trim(F.coalesce("tenant", F.lit(""))), F.trim(F.coalesce("id", F.lit("")))
+    parts = F.when(F.col("kind") == "tenant", F.array(tenant)).when(F.col("kind") == "project", F.concat(F.array(tenant), inner)).otherwise(F.concat(F.array(tenant), inner, F.array(own)))
+    least = F.when(F.col("kind") == "tenant", 1).otherwise(2)
+    ok = F.col("kind").isin("tenant", "project", "container") & (F.size("parts") >= least) & (F.size("parts") <= 12) & F.forall("parts", lambda s: s.rlike(SEGMENT))
+    rows = requests.withColumn("parts", parts).withColumns({"ok": F.coalesce(ok, F.lit(False)), "full": F.array_join("parts", "/")})
+    name = F.when(F.col("kind") == "container", F.col("name")).otherwise(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.element_at("parts", -1)))
+    new = rows.where("ok").select("kind", F.col("full").alias("path"), name.alias("name"), "description", "type", F.when(F.col("kind") == "tenant", isolation(F.col("isolation"))).alias("isolation"), "created_at")
+    fields = [c for c in new.columns if c not in ("kind", "path")]
+    implied = rows.where("ok and kind = 'project'").select(F.lit("tenant").alias("kind"), F.col("parts")[0].alias("path"), F.col("parts")[0].alias("name"), *(F.lit(None).cast("string").alias(c) for c in ("description", "type")), F.lit("hard").alias("isolation"), "created_at")
+    told = overlay.select(new.columns).unionByName(new).groupBy("kind", "path").agg(F.max_by(F.struct(*fields), "created_at").alias("r")).select("kind", "path", "r.*")
+    implied = implied.groupBy("kind", "path").agg(F.min_by(F.struct(*fields), "created_at").alias("r")).select("kind", "path", "r.*").join(told.select("kind", "path"), ["kind", "path"], "left_anti")
+    return told.unionByName(implied), rows.select("request_id", F.when(F.col("ok"), 201).otherwise(400).alias("status"), F.when(F.col("ok"), F.col("full")).alias("path"))
+
+
+def projects(containers: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(path, containers, name, description, type) of all projects: those above some container, and those only
+    told of, which have 0; a project without a name has its last part."""
+    counts = rolled_up(containers.where(F.size(F.split("path", "/")) > 2)).where("depth > 1").select("path", "containers")
+    told = overlay.where("kind = 'project'")
+    above = F.transform(F.sequence(F.lit(2), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))
+    empty = told.select(F.explode(above).alias("path"), F.lit(0).cast("long").alias("containers"))
+    rows = counts.unionByName(empty).groupBy("path").agg(F.max("containers").alias("containers")).join(told.select("path", "name", "description", "type"), "path", "left")
+    return rows.withColumn("name", F.coalesce("name", F.element_at(F.split("path", "/"), -1)))

@@ -41,3 +41,41 @@ def grounded(messages: DataFrame, blocks: DataFrame) -> DataFrame:
     first = first.select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("system").alias("role"), F.array_join(F.concat("s", F.array("block")), "\n\n").alias("text"))
     others = rows.where("role <> 'system'").withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
     return first.unionByName(others.select("conv_id", "turn", "role", "text")).unionByName(untouched)
+
+
+def told(queries: DataFrame, blocks: DataFrame, by: str = "q_id", query: str = "q") -> DataFrame:
+    """(by, grounded, used_query): how many passages were put in, and the query used as a header has it: percent
+    encoded, 400 characters at most."""
+    code = F.replace(F.url_encode(F.coalesce(F.col(query), F.lit(""))), F.lit("+"), F.lit("%20"))
+    for sign, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        code = F.replace(code, F.lit(sign), F.lit(plain))
+    rows = queries.select(by, query).join(blocks.select(by, "passages"), by, "left")
+    return rows.select(by, F.coalesce("passages", F.lit(0)).cast("long").alias("grounded"), F.substring(code, 1, 400).alias("used_query"))
+
+
+def with_model(rows: DataFrame, text: str, model=None, batch: int = 16) -> DataFrame:
+    """rows with ``text`` as a plug-in ``model`` rewrites it: a function from a list of texts to as many. Without
+    a model, and where it fails or returns nothing, texts stay as they are."""
+    if model is None:
+        return rows
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    place = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            out: list = []
+            old = whole[text].to_pylist()
+            for at in range(0, len(old), batch):
+                part = old[at : at + batch]
+                try:
+                    new = list(model(part))
+                    new = [b or a for a, b in zip(part, new, strict=True)]
+                except Exception:  # a plug-in may be away: the text stays
+                    new = part
+                out += new
+            yield whole.set_column(place, text, pa.array(out, pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -61,3 +61,21 @@ def refs(branches: DataFrame) -> DataFrame:
 def blob_text(content: Column, size: Column) -> Column:
     """The text of a blob, or a note for one above the limit."""
     return F.when(size <= BLOB_LIMIT, content).otherwise(F.concat(F.lit("too large: "), size.cast("string"), F.lit(" bytes")))
+
+
+def raw(files: DataFrame, repo: str, path: str) -> DataFrame:
+    """(repo, path, content): the bytes of one file of a repository, no row if there is none."""
+    return files.where((F.col("repo") == repo) & (F.col("path") == path)).select("repo", "path", F.col("content").cast("binary").alias("content"))
+
+
+def of_path(commits: DataFrame, stats: DataFrame, path: Column) -> DataFrame:
+    """Commits (id) that touch a file for which ``path``, a condition on stats (commit_id, path), holds."""
+    return commits.join(stats.where(path).select(F.col("commit_id").alias("id")).distinct(), "id", "left_semi")
+
+
+def compared_files(heads_from: DataFrame, heads_to: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
+    """(root, path, commits, additions, deletions): per file what the commits of ``to`` that ``from`` lacks
+    change; null counts, of binary files, add nothing."""
+    rows = compared(heads_from, heads_to, edges).join(stats.withColumnRenamed("commit_id", "id"), "id")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    return rows.groupBy("root", "path").agg(F.count(F.lit(1)).alias("commits"), total("additions").alias("additions"), total("deletions").alias("deletions"))

@@ -73,3 +73,36 @@ def moved_on(jobs: DataFrame, changes: DataFrame) -> DataFrame:
 
     done = rows.withColumn("r", F.aggregate("steps", first, step))
     return done.withColumns({"status": F.col("r.s"), "started_at": F.col("r.a"), "finished_at": F.col("r.f"), "error": F.col("r.e"), "log": F.to_json("r.log")}).drop("r", "steps")
+
+
+def push_hook(own_author: str) -> Column:
+    """What a push starts at once, without a queue, of has_head, mode (of the ingest file, if there is one) and
+    author_email: there is no fingerprint, so an unchanged source is taken in again."""
+    return (
+        F.when(~F.coalesce("has_head", F.lit(False)), "empty-repo").when(F.coalesce("mode", F.lit("")) == "", "no-ingest-config")
+        .when(F.col("author_email") == own_author, "own-writeback").otherwise("spawn")
+    )
+
+
+#: Steps of an ingest: its place, its name and when it is taken.
+CHAIN = (
+    (1, "clone", "has_repo"), (2, "config", "has_branch and mode is not null"), (3, "build", "mode = 'build'"), (4, "quantize", "mode = 'build' and quantize"),
+    (5, "drop-raw", "mode = 'build' and quantize and not keep_raw"), (6, "atomize", "mode = 'atomize'"), (7, "marker", "true"), (8, "commit", "dirty"),
+)
+
+
+def chain(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, outcome) of the ingest of each container of configs (container_id, has_repo, has_branch, mode, quantize,
+    keep_raw, source_key, built_key): steps (container_id, place, step) in order, and outcome (container_id, status,
+    committed, error). Artifacts change, and are committed, unless the marker has the source's key already; a
+    missing repository, branch or config and an unknown mode fail before anything is built."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    error = (
+        F.when(~flag("has_repo"), "repository not found").when(~flag("has_branch"), "no branch with commits").when(F.col("mode").isNull(), "ingest config missing")
+        .when(~F.col("mode").isin("build", "atomize"), F.concat(F.lit("bad ingest mode: "), "mode"))
+    )
+    rows = configs.withColumns({"error": error, "quantize": flag("quantize"), "keep_raw": flag("keep_raw"), "dirty": ~F.col("built_key").eqNullSafe(F.coalesce("source_key", F.lit("unresolved-source")))})
+    taken = F.filter(F.array(*(F.struct(F.lit(n).alias("place"), F.lit(name).alias("step"), F.expr(when).alias("on")) for n, name, when in CHAIN)), lambda s: s["on"])
+    steps = rows.where("error is null").select("container_id", F.explode(taken).alias("s")).select("container_id", "s.place", "s.step")
+    outcome = rows.select("container_id", F.when(F.col("error").isNull(), "sealed").otherwise("failed").alias("status"), (F.col("error").isNull() & F.col("dirty")).alias("committed"), "error")
+    return steps, outcome

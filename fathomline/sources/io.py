@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,27 +43,50 @@ def ordered_chunks(order: DataFrame, chunks: DataFrame, leftovers: bool = False)
     return rows.select(F.col("pos").cast("long").alias("pos"), "id", "text").unionByName(rest.select((F.lit(last + 1) + F.monotonically_increasing_id()).alias("pos"), "id", "text"))
 
 
-def raw_vectors(spark: SparkSession, path: str, dims: int) -> DataFrame:
-    """(file, pos, embedding) of row-major float32 files; a .npy file has its own shape. A file is read by
-    one task, batch by batch of rows."""
+#: Bytes of a file of vectors that a task reads at a time.
+RANGE = 64 << 20
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                width, raw = dims, content
-                if content[:6] == b"\x93NUMPY":
-                    import io
 
-                    m = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float32)
-                    width, raw = m.shape[1], m.tobytes()
-                x = np.frombuffer(raw, "<f4", count=len(raw) // (4 * width) * width)
-                for at in range(0, len(x) // width, 4096):
-                    part = x[at * width : (at + 4096) * width]
-                    n = len(part) // width
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(part))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n), pa.int64()), lists], names=["file", "pos", "embedding"])
+def raw_vectors(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """(file, pos, embedding) of row-major float32 files; a .npy file of float32 has its own width. Files of one
+    path count on in the order of their names. A file is read in ranges of whole rows by many tasks, so its
+    size doesn't matter; only names and lengths go to the driver."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").collect()  # a row per file
+
+    def header(name: str) -> tuple[int, int]:
+        """(bytes before the rows, numbers of a row)."""
+        system, base = fs.FileSystem.from_uri(name)
+        with system.open_input_file(base) as f:
+            if f.read(6) != b"\x93NUMPY":
+                return 0, dims
+            f.seek(0)
+            version = np.lib.format.read_magic(f)
+            shape, fortran, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+            if fortran or kind != np.dtype("<f4"):
+                raise ValueError(f"{name} isn't row-major float32")
+            return f.tell(), shape[1]
+
+    jobs, before = [], 0
+    for name, length in listed:
+        skip, width = header(name)
+        rows, step = (length - skip) // (4 * width), max(1, RANGE // (4 * width))
+        jobs += [(name, skip + at * 4 * width, min(step, rows - at), width, before + at) for at in range(0, rows, step)]
+        before += rows
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, skip, rows, width, first in zip(*(batch[c].to_pylist() for c in ("file", "skip", "rows", "width", "first")), strict=True):
+                system, base = fs.FileSystem.from_uri(name)
+                with system.open_input_file(base) as f:
+                    f.seek(skip)
+                    for at in range(0, rows, 4096):
+                        n = min(4096, rows - at)
+                        x = np.frombuffer(f.read(n * width * 4), "<f4")
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(x))
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(first + at, first + at + n), pa.int64()), lists], names=["file", "pos", "embedding"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "file string, pos bigint, embedding array<float>")
+    ranges = spark.createDataFrame(jobs, "file string, skip bigint, rows bigint, width int, first bigint").repartition(max(1, len(jobs)))
+    return ranges.mapInArrow(read, "file string, pos bigint, embedding array<float>")
 
 
 def whole_texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
@@ -71,15 +95,46 @@ def whole_texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> Data
     return files.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
-def found_files(spark: SparkSession, folder: str, pattern: str = "**/*.pdf") -> list[str]:
-    """Sorted paths; an error if there are none."""
+def found_files(spark: SparkSession, folder: str, pattern: str = "**/*.pdf") -> DataFrame:
+    """(path) in order; an error if there are none."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern.rsplit("/", 1)[-1]).load(folder)
-    paths = [r[0] for r in names.select("path").orderBy("path").collect()]
-    if not paths:
+    paths = names.select("path").orderBy("path")
+    if paths.isEmpty():
         raise FileNotFoundError(f"no file fits {pattern} in {folder}")
     return paths
 
 
+#: What a reader of text layers returns per line, and one of blocks per block.
+LINE = "doc string, page int, line_seq int, text string, x double, y double, x2 double"
+BLOCK = "doc string, seq int, text string"
+
+
+def _read_with(files: DataFrame, reader, schema: str) -> DataFrame:
+    fields = [f.strip().split(" ") for f in schema.split(",")][1:]
+    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                rows = reader(path, content) or []
+                if rows:
+                    columns = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *columns], names=["doc", *(n for n, _ in fields)])
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def read_lines(files: DataFrame, reader) -> DataFrame:
+    """LINE rows of files (path, content) by a plug-in: a function of path and bytes that returns (page, line_seq,
+    text, x, y, x2) per line, or None without a text layer, which gives no row."""
+    return _read_with(files, reader, LINE)
+
+
+def read_blocks(files: DataFrame, reader) -> DataFrame:
+    """BLOCK rows of files by a plug-in that returns the text of each page or block; empty ones are left out."""
+    return _read_with(files, lambda path, content: list(enumerate(t.strip() for t in reader(path, content) or [] if t and t.strip())), BLOCK)
+
+
 def repositories(paths: DataFrame, deepest: int = 11) -> DataFrame:
     """(path, tenant, project, id) of the repositories among file paths: each folder that ends in .git, its
     parents are the hierarchy."""

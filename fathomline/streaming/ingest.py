@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fathomline.operators.ingest import decided
+from fathomline.operators.ingest import decided, moved_on
 
 EVENTS = "event_id bigint, ts timestamp, type string, container_id string"
 JOBS = "id string, container_id string, kind string, status string, triggered_at timestamp, batch bigint"
@@ -41,3 +41,38 @@ def start(events: DataFrame, state: DataFrame, jobs_folder: str, checkpoint: str
 
     writer = events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+
+
+CHANGES = "id string, status string, at timestamp, error string"
+STATES = "id string, container_id string, status string, started_at timestamp, finished_at timestamp, error string, log string"
+
+
+def job_states(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The latest version of the jobs' states, or the latest one before a version."""
+    try:
+        rows = spark.read.schema(f"{STATES}, version bigint").parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], STATES)
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    latest = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == F.lit(latest)).drop("version")
+
+
+def start_states(changes: DataFrame, jobs_folder: str, states_folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Move jobs on by a stream of CHANGES: each batch writes the next version of all states from the one before
+    it and the jobs queued since; a replayed batch writes its own version again. A change of a job that isn't
+    known yet is ignored, as one that no rule allows is."""
+    spark = changes.sparkSession
+
+    def take(batch: DataFrame, number: int) -> None:
+        now = job_states(spark, states_folder, number)
+        new = known_jobs(spark, jobs_folder).join(now.select("id"), "id", "left_anti")
+        empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("started_at", "timestamp"), ("finished_at", "timestamp"), ("error", "string"), ("log", "string"))]
+        both = now.unionByName(new.select("id", "container_id", "status", *empty))
+        moved = moved_on(both.withColumnRenamed("log", "old"), batch)
+        whole = F.when(F.coalesce("old", F.lit("[]")) == "[]", F.col("log")).when(F.col("log") == "[]", F.col("old")).otherwise(F.concat(F.expr("substring(old, 1, length(old) - 1)"), F.lit(","), F.expr("substring(log, 2)")))
+        moved.withColumn("log", whole).select([f.split(" ")[0] for f in STATES.split(", ")]).write.mode("overwrite").parquet(f"{states_folder.rstrip('/')}/version={number}")
+
+    writer = changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

@@ -191,3 +191,26 @@ def test_documents(spark):
     assert [(r.doc, r.text) for r in D.row_chunks(page, files).orderBy("doc", "at", "win").collect()] == [
         ("d", "Datenblatt SNR 77 · Pumpe"), ("d", "Pumpe — Name | Wert"), ("d", "Pumpe — Druck | 12,5"), ("e", "Datenblatt SNR b"),
     ]
+
+
+def test_streamed_job_states(spark, tmp_path):
+    from fathomline.streaming import ingest as S
+
+    jobs, states, inbox, check = (str(tmp_path / n) for n in ("jobs", "states", "in", "check"))
+    spark.createDataFrame([("a", "t/a", "ingest", "queued", ts(0), 0), ("b", "t/b", "ingest", "queued", ts(0), 0)], S.JOBS).drop("batch").write.parquet(f"{jobs}/batch=0")
+
+    def change(*rows):
+        spark.createDataFrame(rows, S.CHANGES).coalesce(1).write.mode("append").json(inbox)
+        S.start_states(spark.readStream.schema(S.CHANGES).json(inbox), jobs, states, check).awaitTermination()
+        return {r.id: (r.status, r.log.count("status")) for r in S.job_states(spark, states).collect()}
+
+    assert change(("a", "running", ts(1), None), ("zz", "running", ts(1), None)) == {"a": ("running", 1), "b": ("queued", 0)}
+    assert change(("a", "failed", ts(5), "boom"), ("b", "sealed", ts(6), None)) == {"a": ("failed", 2), "b": ("queued", 0)}
+    assert change(("b", "running", ts(7), None)) == {"a": ("failed", 2), "b": ("running", 1)}
+
+
+def test_models_are_optional(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "q_id int, q string")
+    out = lambda model: [r.q for r in ground.with_model(rows, "q", model, 2).orderBy("q_id").collect()]
+    assert out(None) == ["a", None, "c"] == out(lambda ts_: 1 / 0)
+    assert out(lambda ts_: [t and t.upper() for t in ts_]) == ["A", None, "C"]

@@ -29,7 +29,7 @@ def test_vectors_and_texts(spark, tmp_path):
     (tmp_path / "t" / "u" / "a.md").write_text("eins\nzwei")
     (tmp_path / "t" / "b.txt").write_text("drei")
     assert [r.text for r in io.whole_texts(spark, str(tmp_path / "t")).collect()] == ["eins\nzwei"]
-    assert len(io.found_files(spark, str(tmp_path / "t"), "**/*.txt")) == 1
+    assert io.found_files(spark, str(tmp_path / "t"), "**/*.txt").count() == 1
     with pytest.raises(FileNotFoundError):
         io.found_files(spark, str(tmp_path / "t"), "**/*.pdf")
 
@@ -48,3 +48,52 @@ def test_versions_and_embedding(spark, tmp_path):
     assert (m.doc_count, m.chunk_count, m.dims) == (2, 3, 0)
     got = io.embedded(chunks, "id", "text", lambda ts: [[len(t), 0.0] for t in ts], 2, batch=2).collect()
     assert all(r.embedding == pytest.approx([1, 0]) for r in got) and len(got) == 3
+
+
+def test_raw_files_in_ranges_and_back(spark, tmp_path, monkeypatch):
+    from fathomline.sources import containers as C
+
+    monkeypatch.setattr(io, "RANGE", 40)
+    x = np.random.default_rng(0).standard_normal((101, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(v) for v in r], "x") for i, r in enumerate(x)] + [(101, None, "x"), (102, [1.0], "x")], "pos bigint, embedding array<float>, file string")
+    assert C.write_raw_vectors(rows.repartition(5), str(tmp_path / "v.f32"), 4) == 103
+    got = [r.embedding for r in io.raw_vectors(spark, str(tmp_path / "v.f32"), 4).orderBy("pos").collect()]
+    assert got[:101] == x.tolist() and got[101:] == [[0.0] * 4] * 2
+    np.save(tmp_path / "w.npy", x)
+    assert [r.embedding for r in io.raw_vectors(spark, str(tmp_path / "w.npy"), 9).orderBy("pos").collect()] == x.tolist()
+
+
+def test_containers_fall_back(spark, tmp_path):
+    from fathomline.operators import codec
+    from fathomline.sources import containers as C
+
+    path = str(tmp_path / "c")
+    x = np.random.default_rng(1).standard_normal((50, 8))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "pos bigint, embedding array<float>")
+    assert C.container_vectors(spark, path, "tq-b2", 8).count() == 0
+    chunks = spark.createDataFrame([(1, "a", "d"), (0, "a", "d"), (2, None, "e")], "pos bigint, id string, doc string")
+    C.write_container_files(chunks, path, "c", "docs", "Title", "m", 8, "f32", rows)
+    assert C.container_vectors(spark, path, "tq-b2", 8).count() == 50  # no store: the raw vectors
+    order = spark.read.json(f"{path}/{C.ORDER}").orderBy("pos").collect()
+    assert [r["id"] for r in order] == ["a", "a", None]
+    book = codec.fit(rows, "pos", F.col("embedding"), 8, bits=4)
+    C.write_store(rows, "pos", F.col("embedding"), book, f"{path}/{C.STORE}")
+    got = np.array([r.embedding for r in C.container_vectors(spark, path, "tq-b4", 8).orderBy("pos").collect()])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert ((got * u).sum(1) > 0.97).all() and np.allclose(np.linalg.norm(got, axis=1), 1, atol=2e-3)
+    info = C.store_info(spark, f"{path}/{C.STORE}").first()
+    assert (info.vectors, info.dims, info.bits, info.codebook) == (50, 8, 4, 16) and info.bytes > 0
+
+
+def test_readers_and_field_catalog(spark, tmp_path):
+    from fathomline.sources import containers as C
+
+    files = spark.createDataFrame([("a", b"x\fy\f "), ("b", b"")], "path string, content binary")
+    lines = io.read_lines(files, lambda path, content: [(1, n, t, 0.0, float(n), None) for n, t in enumerate(content.decode().split("\f"))] if content else None)
+    assert sorted((r.doc, r.line_seq, r.text, r.x2) for r in lines.collect()) == [("a", 0, "x", None), ("a", 1, "y", None), ("a", 2, " ", None)]
+    blocks = io.read_blocks(files, lambda path, content: content.decode().split("\f"))
+    assert sorted(map(tuple, blocks.collect())) == [("a", 0, "x"), ("a", 1, "y")]
+    (tmp_path / "f.json").write_text(json.dumps({"E1": {"datentyp": "currency", "anlage": "N", "zeile": 3}, "E2": {"enum": [["1", "ja"], ["2", "nein"]]}}))
+    got = {r.code: r for r in C.field_catalog(spark, str(tmp_path / "f.json")).collect()}
+    assert got["E1"].section == "N" and got["E1"].row == "3" and got["E2"].enum == ["1", "2"]
+    assert C.field_catalog(spark, None) is None and C.field_catalog(spark, str(tmp_path / "none.json")) is None
