@@ -6,6 +6,8 @@ batches of that document's lines alone.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ BAND, RIGHT = 14, 60
 LINES = "doc string, page int, line_seq int, text string, x double, y double, x2 double"
 # Words of a claim's text.
 UNKNOWN, SECTION, ROW = "Arbeitgeber unbekannt", "Anlage", "Zeile"
+# Fixed value: euros without cents.
+EUROS = r"^([0-9]{1,3}([.][0-9]{3})*|[0-9]{1,5})$"
 VALUES = "doc string, code string, raw string, page int, y double"
 
 
@@ -69,7 +73,7 @@ def keyword_pairs(lines: pd.DataFrame, keywords: list[tuple[str, tuple, tuple]],
     out = []
     for page, on in lines.sort_values(["page", "line_seq"]).groupby("page", sort=True):
         plain = on.text.str.strip()
-        free = [(x, y, t) for x, y, t in zip(on.x, on.y, plain, strict=True) if pd.notna(t) and pd.Series([t]).str.fullmatch(MONEY.strip("^$"))[0]]
+        free = [(x, y, t) for x, y, t in zip(on.x, on.y, plain, strict=True) if pd.notna(t) and re.fullmatch(MONEY.strip("^$"), t)]
         flat = on.text.str.lower().str.replace(r"\s+", "", regex=True)
         for code, needed, barred in keywords:
             if code in done or not free:
@@ -103,24 +107,34 @@ def greedy_pairs(lines: DataFrame, anchored: DataFrame, codes: dict[int, str], k
     return lines.groupBy("doc").cogroup(anchored.groupBy("doc")).applyInPandas(per_doc, VALUES)
 
 
-def joined_cents(lines: DataFrame) -> DataFrame:
-    """Whole euros and two digits of cents to their right on the same line become one amount; the first
-    fitting cents by order are used up and leave an empty text."""
+def first_free(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of a page's pairs (e, c) of places, in order: each e takes its first c that nothing has taken, and which
+    took nothing itself; an e that is taken takes nothing."""
+    taken, took, out = set(), set(), []
+    for e, c in pairs.sort_values(["e", "c"])[["e", "c"]].itertuples(index=False):
+        if e not in taken and e not in took and c not in taken and c not in took:
+            taken.add(c)
+            took.add(e)
+            out.append((e, c))
+    return pairs[["doc", "page"]].iloc[:1].merge(pd.DataFrame(out, columns=["e", "c"]), how="cross")
 
-    def per_page(on: pd.DataFrame) -> pd.DataFrame:
-        on = on.sort_values("line_seq").reset_index(drop=True)
-        texts = on.text.fillna("").str.strip().tolist()
-        for i, t in enumerate(texts):
-            if not t.replace(".", "").isdigit():
-                continue
-            for j, c in enumerate(texts):
-                gap = on.x[j] - (on.x2[i] if pd.notna(on.x2[i]) else on.x[j] - 1)
-                if j != i and len(c) == 2 and c.isdigit() and on.x[j] > on.x[i] and abs(on.y[j] - on.y[i]) <= 8 and 0 < gap <= 130:
-                    texts[i], texts[j] = f"{texts[i]},{c}", ""
-                    break
-        return on.assign(text=texts)
 
-    return lines.groupBy("doc", "page").applyInPandas(per_page, LINES)
+def joined_cents(lines: DataFrame) -> DataFrame:
+    """Whole euros and two digits of cents to their right on the same line become one amount; the first
+    fitting cents by order are used up and leave an empty text. Only the fitting pairs of a page, which are
+    found by a join on strips of height, meet in one task. Lines of one place are taken as one."""
+    plain = lines.select("doc", "page", "line_seq", F.trim(F.coalesce("text", F.lit(""))).alias("t"), "x", "y", "x2")
+    strip = lambda c: F.floor(F.col(c) / 8)
+    euros = plain.where(F.col("t").rlike(EUROS)).select("doc", "page", F.col("line_seq").alias("e"), F.col("t").alias("euros"), F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("x2").alias("ex2"), F.explode(F.array(strip("y") - 1, strip("y"), strip("y") + 1)).alias("strip"))
+    cents = plain.where(F.col("t").rlike("^[0-9]{2}$")).select("doc", "page", F.col("line_seq").alias("c"), F.col("t").alias("cents"), "x", "y", strip("y").alias("strip"))
+    gap = F.col("x") - F.col("ex2")
+    pairs = euros.join(cents, ["doc", "page", "strip"]).where((F.col("e") != F.col("c")) & (F.col("x") > F.col("ex")) & (F.abs(F.col("y") - F.col("ey")) <= 8) & (F.col("ex2").isNull() | ((gap > 0) & (gap <= 130))))
+    pairs = pairs.select("doc", "page", "e", "c", "euros", "cents")
+    done = pairs.select("doc", "page", "e", "c").groupBy("doc", "page").applyInPandas(first_free, "doc string, page int, e int, c int").join(pairs, ["doc", "page", "e", "c"])
+    new = done.select("doc", "page", F.col("e").alias("line_seq"), F.concat_ws(",", "euros", "cents").alias("new")).unionByName(done.select("doc", "page", F.col("c").alias("line_seq"), F.lit("").alias("new")))
+    new = new.select(F.col("doc").alias("d"), F.col("page").alias("p"), F.col("line_seq").alias("l"), "new")
+    rows = lines.join(new, F.col("doc").eqNullSafe(F.col("d")) & F.col("page").eqNullSafe(F.col("p")) & (F.col("line_seq") == F.col("l")), "left")
+    return rows.select("doc", "page", "line_seq", F.coalesce("new", F.trim(F.coalesce("text", F.lit("")))).alias("text"), "x", "y", "x2")
 
 
 def merged_witnesses(values: DataFrame) -> DataFrame:

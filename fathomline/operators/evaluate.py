@@ -26,9 +26,10 @@ def answerable(gold: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def per_question(hits: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
-    """(q_id, hit1, hit3, oracle, diagnosis): the diagnosis of a question not hit in the top 3 is 'no atom'
-    if no chunk answers it, else 'rank > 3'; null where hit."""
-    best = hits.groupBy("q_id").agg(F.max((F.col("hit") & (F.col("rk") <= 1)).cast("int")).alias("hit1"), F.max((F.col("hit") & (F.col("rk") <= 3)).cast("int")).alias("hit3"))
+    """(q_id, hit1, hit3, oracle, diagnosis, sources): the diagnosis of a question not hit in the top 3 is 'no
+    atom' if no chunk answers it, else 'rank > 3'; null where hit. sources are those of its top 3."""
+    top = F.transform(F.array_sort(F.collect_list(F.when(F.col("rk") <= 3, F.struct("rk", "source")))), lambda s: F.coalesce(s["source"], F.lit("")))
+    best = hits.groupBy("q_id").agg(top.alias("sources"), F.max((F.col("hit") & (F.col("rk") <= 1)).cast("int")).alias("hit1"), F.max((F.col("hit") & (F.col("rk") <= 3)).cast("int")).alias("hit3"))
     rows = gold.select("q_id").join(best, "q_id", "left").join(found.withColumn("oracle", F.lit(1)), "q_id", "left").fillna(0, ["hit1", "hit3", "oracle"])
     return rows.withColumn("diagnosis", F.when(F.col("hit3") == 1, None).when(F.col("oracle") == 0, "no atom").otherwise("rank > 3"))
 

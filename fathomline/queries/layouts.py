@@ -38,7 +38,8 @@ def column_anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cell_text_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.table_rows(_glyphs(spark, folder))
+    """Each box begins a word."""
+    return layout.table_rows(_glyphs(spark, folder).withColumn("wpos", F.lit(0)))
 
 
 def _lined(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators import catalog, codec, dense, ground, history, ingest, lexical, lexicon
+from fathomline.queries.retrieval import _GOLD, _RANK
 from fathomline.session import materialize, table
 
 BOUNDS = [-0.12, 0.0, 0.12]
@@ -269,6 +270,13 @@ FROM p LEFT JOIN customer ON p.container_id = 't/u' || c_custkey LEFT JOIN a ON
     "active_job_antijoin": f"WITH {_JOBS} SELECT 't/u' || c_custkey AS container_id FROM customer WHERE 't/u' || c_custkey NOT IN (SELECT container_id FROM j WHERE status IN ('queued', 'running'))",
     "oldest_queued": f"WITH {_JOBS} SELECT container_id, id FROM (SELECT *, row_number() OVER (PARTITION BY container_id ORDER BY t, id) AS n FROM j WHERE status = 'queued') WHERE n = 1",
     "job_durations": f"WITH {_JOBS} SELECT id, round((f - s) / 1000000.0, 3)::DOUBLE AS duration_seconds FROM j",
+    "job_states": f"""WITH {_JOBS}, ev AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS job FROM events WHERE event_type IN ('click', 'view', 'signup', 'error')),
+ch AS (SELECT job AS id, CASE event_type WHEN 'view' THEN 'running' WHEN 'signup' THEN 'sealed' ELSE 'failed' END AS new, row_number() OVER (PARTITION BY job ORDER BY ts, CASE event_type WHEN 'view' THEN 'running' WHEN 'signup' THEN 'sealed' ELSE 'failed' END) AS n FROM ev WHERE event_type <> 'click' AND job IS NOT NULL),
+st AS (SELECT j.id, container_id, status, CASE WHEN status = 'running' THEN 0 WHEN status = 'queued' THEN (SELECT min(n) FROM ch WHERE ch.id = j.id AND new = 'running') END AS began FROM j)
+SELECT id, container_id, CASE WHEN status IN ('sealed', 'failed') OR began IS NULL THEN status ELSE coalesce((SELECT min_by(new, n) FROM ch WHERE ch.id = st.id AND n > began AND new <> 'running'), 'running') END AS status FROM st""",
+    "context_block": f"""WITH {_GOLD}, m AS (SELECT q_id, rk, score, container_id, source, text FROM (SELECT *, {_RANK} AS rk FROM s) r JOIN chunks ON r.id = row_id WHERE rk <= 3),
+b AS (SELECT q_id, string_agg('[' || rk || '] ' || coalesce(container_id, '') || ' / ' || coalesce(source, '') || ' (score ' || CAST(round(CAST(score AS DECIMAL(18, 6)), 4) AS VARCHAR) || ')' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY rk) AS block, count(*) AS passages FROM m GROUP BY 1)
+SELECT gold.q_id, coalesce(block, 'No matching passage was found.') AS block, coalesce(passages, 0) AS passages FROM gold LEFT JOIN b ON b.q_id = gold.q_id""",
     "last_user_turn": f"WITH {_MSG} SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM m WHERE role = 'user') WHERE n = 1",
     "system_merge": f"""WITH {_MSG}, b AS (SELECT c_custkey AS conv_id, 'Known: ' || c_name AS block FROM customer WHERE c_custkey % 2 = 0)
 SELECT m.* FROM m WHERE conv_id NOT IN (SELECT conv_id FROM b)

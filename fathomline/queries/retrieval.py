@@ -111,7 +111,7 @@ def recall_at_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fail_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
-    return _questions(spark, folder).where("diagnosis is not null").select("q_id", "diagnosis")
+    return _questions(spark, folder).where("diagnosis is not null").select("q_id", "diagnosis", F.array_join("sources", "; ").alias("sources"))
 
 
 def match_projection(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,6 +174,6 @@ ORACLE = {
     "rerank_promote": _TOP_TEXT.replace("TOP_", "10") + """, p AS (SELECT t.q_id, t.id, row_number() OVER (PARTITION BY t.q_id ORDER BY rk DESC) AS p FROM t JOIN g USING (q_id) WHERE wanted <> '' AND contains(d, wanted))
 SELECT q_id, id, rk, row_number() OVER (PARTITION BY q_id ORDER BY CASE WHEN p <= 3 THEN p END NULLS LAST, rk) AS new_rk FROM t LEFT JOIN p USING (q_id, id)""",
     "recall_at_k": _QUESTIONS + " SELECT count(*) AS questions, round(avg(hit1), 6) AS recall1, round(avg(hit3), 6) AS recall3, round(avg(oracle), 6) AS oracle FROM a",
-    "fail_diagnosis": _QUESTIONS + " SELECT q_id, CASE WHEN oracle = 0 THEN 'no atom' ELSE 'rank > 3' END AS diagnosis FROM a WHERE hit3 = 0",
+    "fail_diagnosis": _QUESTIONS + " SELECT q_id, CASE WHEN oracle = 0 THEN 'no atom' ELSE 'rank > 3' END AS diagnosis, (SELECT string_agg(coalesce(source, ''), '; ' ORDER BY rk) FROM t WHERE t.q_id = a.q_id) AS sources FROM a WHERE hit3 = 0",
     "match_projection": f"WITH {_GOLD} SELECT q_id, rk, round(score, 4) AS score, row_id, source, substr(text, 1, 700) AS text, page, y, line_from, line_to, reader FROM (SELECT *, {_RANK} AS rk FROM s) r JOIN chunks ON r.id = row_id WHERE rk <= 8",
 }

@@ -1,3 +1,5 @@
+import re
+
 import datetime as dt
 
 import numpy as np
@@ -214,3 +216,28 @@ def test_models_are_optional(spark):
     out = lambda model: [r.q for r in ground.with_model(rows, "q", model, 2).orderBy("q_id").collect()]
     assert out(None) == ["a", None, "c"] == out(lambda ts_: 1 / 0)
     assert out(lambda ts_: [t and t.upper() for t in ts_]) == ["A", None, "C"]
+
+
+def test_joined_cents_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = ["12", "34", "1.234", "5", "99", "123456", "a", None, "7,10"]
+    data = [("d", int(p), i, texts[rng.integers(len(texts))], float(rng.integers(0, 200)), float(rng.integers(0, 30)), None if rng.random() < 0.3 else 0.0) for p in range(6) for i in range(25)]
+    data = [(d, p, i, t, x, y, None if x2 is None else x + 10) for d, p, i, t, x, y, x2 in data]
+    want = {}
+    for p in range(6):
+        on = [list(r) for r in data if r[1] == p]
+        text, used, made = {r[2]: (r[3] or "").strip() for r in on}, set(), set()
+        for e in on:
+            if e[2] in used or not re.fullmatch(claims.EUROS.strip("^$"), text[e[2]]):
+                continue
+            for c in on:
+                gap_ok = e[6] is None or 0 < c[4] - e[6] <= 130
+                if c is not e and c[2] not in used and c[2] not in made and re.fullmatch("[0-9]{2}", text[c[2]]) and c[4] > e[4] and abs(c[5] - e[5]) <= 8 and gap_ok:
+                    text[e[2]], text[c[2]] = f"{text[e[2]]},{text[c[2]]}", ""
+                    used.add(c[2])
+                    made.add(e[2])
+                    break
+        want |= {(p, k): v for k, v in text.items()}
+    got = claims.joined_cents(spark.createDataFrame(data, claims.LINES))
+    assert {(r.page, r.line_seq): r.text for r in got.collect()} == want
+    assert any("," in v and v != "7,10" for v in want.values())
