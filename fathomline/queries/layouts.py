@@ -16,6 +16,11 @@ CURRENCY = ("Rechnungsbetrag", "Bruttoarbeitslohn", "Solidaritätszuschlag", "Ei
 DAYS = [str(n) for n in range(1, 32)]
 
 
+def _word_glyphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each box begins a word."""
+    return _glyphs(spark, folder).withColumn("wpos", F.lit(0))
+
+
 def _glyphs(spark: SparkSession, folder: str) -> DataFrame:
     """Each distinct word box as a glyph; boxes read twice count once."""
     rows = table(spark, folder, "boxes").where("doc is not null")
@@ -38,8 +43,7 @@ def column_anchors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cell_text_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Each box begins a word."""
-    return layout.table_rows(_glyphs(spark, folder).withColumn("wpos", F.lit(0)))
+    return layout.table_rows(_word_glyphs(spark, folder))
 
 
 def _lined(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,10 +130,24 @@ _B = """s AS (SELECT DISTINCT doc, page, CAST(floor(y) AS BIGINT) AS a, CAST(flo
 n AS (SELECT *, coalesce(CAST(a > max(b) OVER (PARTITION BY doc, page ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS INT), 1) AS new FROM s),
 o AS (SELECT *, sum(new) OVER (PARTITION BY doc, page ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS band FROM n),
 bands AS (SELECT doc, page, CAST(band AS BIGINT) AS band, min(a) AS top, max(b) AS bottom FROM o GROUP BY 1, 2, 3)"""
-_SEGS = f"""WITH {_G}, z AS (SELECT *, median(w) OVER (PARTITION BY doc, page) AS mw, count(*) OVER (PARTITION BY doc, page) AS cnt FROM g), q AS (SELECT * FROM z WHERE cnt >= 4), {_B.replace('GL_', 'q')},
-ib AS (SELECT q.*, min(band) AS band FROM q JOIN bands k ON k.doc = q.doc AND k.page = q.page AND q.y + q.h / 2 BETWEEN top - 2 AND bottom + 2 GROUP BY ALL),
+_SEGS = f"""WITH {_G}, z AS (SELECT *, median(w) OVER (PARTITION BY doc, page) AS mw, median(h) OVER (PARTITION BY doc, page) AS mh, count(*) OVER (PARTITION BY doc, page) AS cnt FROM g), q AS (SELECT * FROM z WHERE cnt >= 4), {_B.replace('GL_', 'q')},
+ib AS (SELECT q.*, min(band) AS band, min(top) AS top FROM q JOIN bands k ON k.doc = q.doc AND k.page = q.page AND q.y + q.h / 2 BETWEEN top - 2 AND bottom + 2 GROUP BY ALL),
 f AS (SELECT *, coalesce(CAST(x - (lag(x) OVER t + lag(w) OVER t) > 2.2 * mw AS INT), 1) AS new FROM ib WINDOW t AS (PARTITION BY doc, page, band ORDER BY x, seq)),
 sg AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc, page, band ORDER BY x, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg FROM f)"""
+_COLS = """, s0 AS (SELECT doc, page, band, seg, min(x) AS x, any_value(mw) AS mw FROM sg GROUP BY 1, 2, 3, 4),
+s1 AS (SELECT *, coalesce(CAST(x - lag(x) OVER o > 3 * mw AS INT), 1) AS new FROM s0 WINDOW o AS (PARTITION BY doc, page ORDER BY x, band, seg)),
+s2 AS (SELECT *, sum(new) OVER (PARTITION BY doc, page ORDER BY x, band, seg ROWS UNBOUNDED PRECEDING) AS chain FROM s1),
+s3 AS (SELECT doc, page, chain, count(*) AS n, avg(x) AS c, any_value(mw) AS mw FROM s2 GROUP BY 1, 2, 3),
+s4 AS (SELECT doc, page, list([c] ORDER BY c) AS cs, any_value(mw) AS mw FROM (SELECT *, max(n) OVER (PARTITION BY doc, page) AS most FROM s3) WHERE n >= 2 OR most < 2 GROUP BY 1, 2),
+cols AS (SELECT doc, page, list_reduce(cs, lambda a, c: CASE WHEN c[1] - a[-1] < 5 * mw THEN list_append(a[1:len(a) - 1], (a[-1] + c[1]) / 2) ELSE list_concat(a, c) END) AS cs FROM s4)"""
+_CELLS = _COLS + """, g0 AS (SELECT *, CAST(round((y + h / 2) / (0.7 * mh)) AS BIGINT) AS g FROM sg),
+g1 AS (SELECT doc, page, band, seg, g, avg(y + h / 2) AS yc, median(h) AS gh, min(x) AS gx FROM g0 GROUP BY 1, 2, 3, 4, 5),
+g2 AS (SELECT *, coalesce(CAST(yc - lag(yc) OVER o > 0.45 * least(gh, lag(gh) OVER o) AS INT), 1) AS new FROM g1 WINDOW o AS (PARTITION BY doc, page, band, seg ORDER BY yc, g)),
+g3 AS (SELECT *, sum(new) OVER (PARTITION BY doc, page, band, seg ORDER BY yc, g ROWS UNBOUNDED PRECEDING) AS vline FROM g2),
+g4 AS (SELECT g0.doc, g0.page, g0.band, g0.seg, string_agg(label, ' ' ORDER BY vline, gx, g0.g, x, seq) AS text, min(x) AS x0, min(top) AS top FROM g0 JOIN g3 ON g3.doc = g0.doc AND g3.page = g0.page AND g3.band = g0.band AND g3.seg = g0.seg AND g3.g = g0.g GROUP BY 1, 2, 3, 4),
+g5 AS (SELECT g4.*, len(cs) AS ncols, len(list_filter(range(1, len(cs)), lambda i: x0 >= (cs[i] + cs[i + 1]) / 2)) AS col FROM g4 JOIN cols ON cols.doc = g4.doc AND cols.page = g4.page),
+ce AS (SELECT doc, page, band, col, trim(string_agg(text, ' ' ORDER BY seg, text)) AS text, any_value(ncols) AS ncols, min(top) AS top FROM g5 GROUP BY 1, 2, 3, 4),
+tr AS (SELECT doc, page, band, CAST(min(top) AS INT) AS y, count(*) = 1 AND min(col) = 0 AND length(min(text)) > 40 AS "full", any_value(ncols) AS ncols, list(col ORDER BY col) AS at_, list(text ORDER BY col) AS ts FROM ce WHERE text <> '' GROUP BY 1, 2, 3)"""
 _L = f"WITH {_G}, l AS (SELECT *, CAST(floor(y / 14) AS INT) AS line FROM g)"
 _CODES = ", ".join(f"({n}, '{c}')" for n, c in CODES.items())
 _ROWS = rf"""WITH {_G}, codes(number, code) AS (VALUES {_CODES}),
@@ -141,6 +159,8 @@ ra AS (SELECT doc, code, raw, page, y FROM (SELECT *, row_number() OVER (PARTITI
 ORACLE = {
     "y_bands": f"WITH {_G}, {_B.replace('GL_', 'g')} SELECT * FROM bands",
     "x_segments": _SEGS + " SELECT doc, page, band, seg, min(x) AS x, count(*) AS n FROM sg GROUP BY 1, 2, 3, 4",
+    "column_anchors": _SEGS + _COLS + " SELECT doc, page, CAST(i - 1 AS INT) AS col, cs[i] AS center FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM cols)",
+    "cell_text_rows": _SEGS + _CELLS + """ SELECT doc, page, band, y, "full", list_transform(range(0, ncols), lambda c: coalesce(ts[list_position(at_, c)], '')) AS cells, array_to_string(ts, ' | ') AS text FROM tr""",
     "sub_super_flags": _L + """, m AS (SELECT *, median(h) OVER (PARTITION BY doc, page, line) AS med FROM l),
 b AS (SELECT *, median(CASE WHEN h >= 0.85 * med THEN y + h END) OVER (PARTITION BY doc, page, line) AS base, median(CASE WHEN h >= 0.85 * med THEN h END) OVER (PARTITION BY doc, page, line) AS bh FROM m)
 SELECT doc, page, line, seq, CASE WHEN h >= 0.85 * med THEN '' WHEN y + h <= base - 0.28 * bh THEN 'sup' WHEN y >= base - 0.62 * bh THEN 'sub' ELSE '' END AS mark FROM b""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.text import COMPANY
 from fathomline.operators import chunk, documents
-from fathomline.queries.layouts import CODES, _codes, _from_text, _glyphs
+from fathomline.queries.layouts import _CELLS, _SEGS, CODES, _codes, _from_text, _glyphs, _word_glyphs
 from fathomline.session import table
 
 
@@ -25,7 +25,7 @@ def word_starts(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_row_chunks(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "fulltext").where("doc is not null").groupBy("doc").agg(F.min(F.substring_index("text", " ", 1)).alias("prefix"))
-    cut = documents.row_chunks(_glyphs(spark, folder), names.withColumn("source", F.concat(F.lit("in/x_"), "doc", F.lit("-1.pdf"))))
+    cut = documents.row_chunks(_word_glyphs(spark, folder), names.withColumn("source", F.concat(F.lit("in/x_"), "doc", F.lit("-1.pdf"))))
     return chunk.numbered(cut, "doc", ["at", "win"], "text").select("doc", "seq", "text_id", "text")
 
 
@@ -60,7 +60,19 @@ QUERIES = {f.__name__: f for f in (visible_glyphs, word_starts, document_row_chu
 
 _G = "g AS (SELECT doc, page, min(row_id) AS seq, x0 AS x, y0 AS y, round(x1 - x0, 3) AS w, round(y1 - y0, 3) AS h, text FROM boxes WHERE doc IS NOT NULL GROUP BY doc, page, text, x0, y0, x1, y1)"
 _CASE = " ".join(f"WHEN '{c}' THEN '{n}. {c}'" for n, c in CODES.items())
+_KEPT = r"(contains(text, ' | ') OR length(text) >= 25 OR regexp_matches(text, '(^|[^0-9.])([0-9]{1,3}([.][0-9]{3})+|[0-9]{1,5}),[0-9]{2}([^0-9]|$)'))"
+_TRIM = r"regexp_replace({}, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')"
 ORACLE = {
+    "document_row_chunks": _SEGS.replace("WITH ", "WITH RECURSIVE ", 1) + _CELLS + f""", fi AS (SELECT doc, min(string_split(text, ' ')[1]) AS prefix FROM fulltext WHERE doc IS NOT NULL GROUP BY 1),
+rows_ AS (SELECT doc, page * 100000 + band AS at_, array_to_string(ts, ' | ') AS text FROM tr), first_ AS (SELECT doc, text, min(at_) AS at_ FROM rows_ WHERE {_KEPT} GROUP BY 1, 2),
+b AS (SELECT first_.doc, at_, text, string_split(text, ' ') AS ws, CASE WHEN coalesce(prefix, '') <> '' THEN prefix || ' — ' ELSE '' END AS pre FROM first_ JOIN fi ON fi.doc = first_.doc),
+f_ AS (SELECT doc, at_, pre, ws, 0 AS n, 0 AS win, pre AS buf, CAST(NULL AS VARCHAR) AS done FROM b WHERE length(pre) + length(text) > 480
+UNION ALL SELECT doc, at_, pre, ws, n + 1, win + CAST(ov AS INT), CASE WHEN ov OR buf = pre THEN pre ELSE buf || ' ' END || ws[n + 1], CASE WHEN ov THEN buf END
+  FROM (SELECT *, length(buf) + length(ws[n + 1]) + 1 > 480 AND buf <> pre AS ov FROM f_ WHERE n < len(ws))),
+w_ AS (SELECT doc, at_, win - 1 AS win, done AS t FROM f_ WHERE done IS NOT NULL UNION ALL SELECT doc, at_, win, buf FROM f_ WHERE n = len(ws) AND buf <> pre UNION ALL SELECT doc, at_, 0, pre || text FROM b WHERE length(pre) + length(text) <= 480
+  UNION ALL SELECT doc, -1, 0, 'Datenblatt SNR ' || doc_part || CASE WHEN coalesce(prefix, '') <> '' THEN ' · ' || prefix ELSE '' END FROM (SELECT *, string_split(string_split('x_' || string_split(doc, '/')[-1] || '-1.pdf', '_')[2], '-')[1] AS doc_part FROM fi)),
+x_ AS (SELECT doc, at_, win, {_TRIM.format('t')} AS t FROM w_)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY at_, win) - 1 AS INT) AS seq, substr(sha256(t), 1, 16) AS text_id, substr(t, 1, 1400) AS text FROM x_ WHERE length(t) >= 20""",
     "visible_glyphs": "SELECT row_id FROM boxes WHERE x1 - x0 < 1 OR y1 - y0 < 1 OR row_id % 5 >= 1",
     "word_starts": f"""WITH {_G}, p AS (SELECT a.doc, a.page, a.seq, b.seq AS word_seq, CAST(row_number() OVER (PARTITION BY a.doc, a.page, b.seq ORDER BY a.x, a.seq) > 1 AS INT) AS wpos FROM g a JOIN g b ON a.doc = b.doc AND a.page = b.page
   AND a.x >= b.x - 1 AND a.x <= b.x + b.w * 2 + 1 AND a.y + a.h / 2 >= b.y - 2 AND a.y + a.h / 2 <= b.y + b.h + 2) SELECT doc, page, seq, max_by(wpos, word_seq) AS wpos FROM p GROUP BY 1, 2, 3""",

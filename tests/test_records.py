@@ -1,6 +1,5 @@
-import re
-
 import datetime as dt
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
