@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from fathomline.operators.dense import exact_nearest, packed, unit_rows, usable
 
-#: Vectors that levels are fitted on at most (those of least id hash).
-SAMPLE = 4_096
+#: Bins of the histogram that levels are fitted on.
+BINS = 1 << 17
 
 
 @dataclass
@@ -35,26 +35,48 @@ def rotation(dims: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def fit_levels(values: np.ndarray, bits: int, rounds: int = 30) -> np.ndarray:
-    """Lloyd-Max: from evenly spaced levels between the outer permilles, each level becomes the mean of
-    its values, an empty one stays; until they hold still."""
-    levels = np.linspace(*np.quantile(values, [0.001, 0.999]), 2**bits)
+def fit_levels(values: np.ndarray, counts: np.ndarray, bits: int, rounds: int = 30) -> np.ndarray:
+    """Lloyd-Max over rising ``values`` that occur ``counts`` times: from evenly spaced levels between the outer
+    permilles, each level becomes the mean of its values, an empty one stays; until they hold still."""
+    ends = np.cumsum(counts)
+    low, high = (values[np.searchsorted(ends, q * (ends[-1] - 1), "right")] for q in (0.001, 0.999))
+    levels = np.linspace(low, high, 2**bits)
     for _ in range(rounds):
         code = np.searchsorted((levels[1:] + levels[:-1]) / 2, values)
-        count = np.bincount(code, minlength=len(levels))
-        new = np.sort(np.where(count > 0, np.bincount(code, values, len(levels)) / np.maximum(count, 1), levels))
+        count = np.bincount(code, counts, len(levels))
+        new = np.sort(np.where(count > 0, np.bincount(code, values * counts, len(levels)) / np.maximum(count, 1), levels))
         if np.allclose(new, levels, atol=1e-6):
             return new
         levels = new
     return levels
 
 
-def fit(vectors: DataFrame, id_col: str, vector: Column, dims: int, bits: int = 2, seed: int = 0) -> Codebook:
-    sample = vectors.where(usable(vector, dims)).select(F.col(id_col).alias("id"), vector.cast("array<double>").alias("v")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+def histogram(vectors: DataFrame, vector: Column, dims: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(means, counts) by bin of the rotated numbers of all usable vectors, which lie between -1 and 1, in one pass."""
     turn = rotation(dims, seed)
-    if not len(sample):
-        return Codebook(bits, dims, seed, np.linspace(-1, 1, 2**bits), turn)
-    return Codebook(bits, dims, seed, fit_levels((unit_rows(sample["v"].combine_chunks(), dims) @ turn.T).ravel(), bits), turn)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(BINS, np.int64), np.zeros(BINS)
+        for batch in batches:
+            if batch.num_rows:
+                y = (unit_rows(batch["v"], dims) @ turn.T).ravel()
+                at = np.clip(((y + 1) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
+                count += np.bincount(at, minlength=BINS)
+                total += np.bincount(at, y, BINS)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some]), pa.array(total[some])], names=["bin", "n", "total"])
+
+    rows = vectors.where(usable(vector, dims)).select(vector.cast("array<double>").alias("v")).mapInArrow(binned, "bin int, n bigint, total double")
+    got = rows.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toArrow().sort_by("bin")  # BINS rows at most
+    n = got["n"].to_numpy().astype(np.float64)
+    return got["total"].to_numpy() / n, n
+
+
+def fit(vectors: DataFrame, id_col: str, vector: Column, dims: int, bits: int = 2, seed: int = 0, bins: tuple[np.ndarray, np.ndarray] | None = None) -> Codebook:
+    """A codebook for all usable vectors, fitted on the means of their ``histogram``, which may be given as
+    ``bins``; so only numbers in the bin of a bound may count for the neighbouring level."""
+    means, counts = bins or histogram(vectors, vector, dims, seed)
+    return Codebook(bits, dims, seed, fit_levels(means, counts, bits) if len(means) else np.linspace(-1, 1, 2**bits), rotation(dims, seed))
 
 
 def codes(vector: Column, bounds: list[float]) -> Column:

@@ -222,9 +222,10 @@ def score_recall10(spark: SparkSession, folder: str) -> DataFrame:
 
 def quantization_cards(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "vectors")
-    units, out = dense.with_units(vectors, "vec_id", F.col("embedding"), 64), None
+    units, out = materialize(dense.with_units(vectors, "vec_id", F.col("embedding"), 64)), None
+    bins = codec.histogram(vectors, F.col("embedding"), 64)
     for bits in (1, 2, 3, 4):
-        book = codec.fit(vectors, "vec_id", F.col("embedding"), 64, bits)
+        book = codec.fit(vectors, "vec_id", F.col("embedding"), 64, bits, bins=bins)
         now = codec.card(units, codec.encoded(vectors, "vec_id", F.col("embedding"), book), book)
         out = now if out is None else out.unionByName(now)
     return out
