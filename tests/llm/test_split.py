@@ -52,7 +52,13 @@ def test_an_edit_alters_neighbouring_pieces_only():
     text = text_of(60_000)
     edited = text[:20_000] + "Ein neuer Satz steht hier. " + text[20_000:]
     old, new = ({t[a:b] for a, b in cuts(t)} for t in (text, edited))
-    assert len(old - new) <= 6 and len(new - old) <= 6
+    assert len(old - new) <= 3 and len(new - old) <= 3
+
+
+def test_every_piece_has_text_of_its_own():
+    for seed in range(60):
+        parts = cuts(text_of(1401 + 97 * seed, seed))
+        assert all(d - b >= 350 for (_, b), (_, d) in zip(parts, parts[1:]))
 
 
 def test_rows(spark):
