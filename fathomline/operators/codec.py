@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.operators.dense import exact_nearest, packed, unit_rows, usable
+from fathomline.session import materialize
 
 #: Bins of the histogram that levels are fitted on.
 BINS = 1 << 17
@@ -143,13 +144,13 @@ def true_scores(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return both.select("q_id", "id", "a", "b").mapInArrow(dot, "q_id bigint, id bigint, score double")
 
 
-def card(units: DataFrame, rows: DataFrame, book: Codebook, every: int = 20, k: int = 10) -> DataFrame:
+def card(units: DataFrame, rows: DataFrame, book: Codebook, every: int = 20, k: int = 10, exact: DataFrame | None = None) -> DataFrame:
     """One row: bits, vectors, dims, bytes, compression, mean cosine of original and decoded, and the score
-    recall of the queries whose id is divisible by ``every``."""
-    back = decoded(rows, book)
+    recall of the queries whose id is divisible by ``every``. ``exact`` may have their exact neighbours."""
+    back = materialize(decoded(rows, book))
     queries = units.where(F.col("id") % every == 0)
-    exact = exact_nearest(units, queries, book.dims, k)
-    near = exact_nearest(back, queries, book.dims, k)
+    exact = exact_nearest(units, queries, book.dims, k) if exact is None else exact
+    near = materialize(exact_nearest(back, queries, book.dims, k))
     recall = score_recall(exact, near, true_scores(near, units))
     size = similarity(units, back).agg(F.count(F.lit(1)).alias("n_vectors"), F.avg("cosine").alias("cos_fidelity"))
     stored = F.col("n_vectors") * (book.dims * book.bits / 8 + 2) + (book.dims**2) * 2 + 2**book.bits * 4

@@ -224,9 +224,10 @@ def quantization_cards(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "vectors")
     units, out = materialize(dense.with_units(vectors, "vec_id", F.col("embedding"), 64)), None
     bins = codec.histogram(vectors, F.col("embedding"), 64)
+    exact = materialize(dense.exact_nearest(units, units.where("id % 20 = 0"), 64, 10))
     for bits in (1, 2, 3, 4):
         book = codec.fit(vectors, "vec_id", F.col("embedding"), 64, bits, bins=bins)
-        now = codec.card(units, codec.encoded(vectors, "vec_id", F.col("embedding"), book), book)
+        now = codec.card(units, codec.encoded(vectors, "vec_id", F.col("embedding"), book), book, exact=exact)
         out = now if out is None else out.unionByName(now)
     return out
 
