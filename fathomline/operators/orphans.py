@@ -97,11 +97,11 @@ def judge(refs: DataFrame, changes: DataFrame, alive: DataFrame | None = None, h
     asked = refs.select(*key, "t", F.lit(2).alias("turn"), F.lit(0).cast("long").alias("step"), _day(F.col("t")).alias("day"), "tab", "row_id")
     sizes = steps.select(*key, "day", F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(asked.select(*key, "day", F.lit(0).alias("c"), F.lit(1).alias("r")))
     sizes = sizes.groupBy(*key, "day").agg(F.sum("c").alias("c"), F.sum("r").alias("r")).where(F.col("c") + F.col("r") > hot)
-    sizes = materialize(sizes.select(*key, "day", F.ceil(F.col("c") / hot).cast("int").alias("times"), F.ceil(F.col("r") / hot).cast("int").alias("rows")))
+    sizes = sizes.select(*key, "day", F.ceil(F.col("c") / hot).cast("int").alias("times"), F.ceil(F.col("r") / hot).cast("int").alias("rows"))
     if sizes.isEmpty():
         steps, asked = (x.withColumns({"part": F.lit(0), "times": F.lit(1)}) for x in (steps, asked))
     else:
-        sizes = broadcast_below(sizes, BROADCAST_BYTES)
+        sizes = broadcast_below(materialize(sizes), BROADCAST_BYTES)
         parts = lambda x: x.join(sizes, [*key, "day"], "left").fillna(1, ["times", "rows"])
         steps = parts(steps).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("rows"), F.lit(1)) - 1))).drop("rows")
         asked = parts(asked).withColumn("part", F.pmod(F.xxhash64("tab", "row_id"), F.greatest(F.col("rows"), F.lit(1))).cast("int")).drop("rows")
@@ -120,9 +120,10 @@ def judge(refs: DataFrame, changes: DataFrame, alive: DataFrame | None = None, h
 
 def advance(state: OrphanState, refs: DataFrame, changes: DataFrame) -> tuple[OrphanState, DataFrame]:
     """Take in the events of an increment, none older than those before: (new state, judged refs)."""
-    judged = judge(refs, changes, state.alive(_touched(refs, changes)) if state.changes else None)
-    steps = materialize(changes.groupBy("scope", "key").agg(F.sum("step").alias("step")).where("step <> 0"))
+    steps = materialize(changes.groupBy("scope", "key").agg(F.sum("step").alias("step")))
     made = materialize(refs.groupBy("scope", "key", "tab").agg(F.count(F.lit(1)).alias("refs")))
+    touched = broadcast_below(_union([steps.select("scope", "key"), made.select("scope", "key")]), BROADCAST_BYTES)
+    judged = judge(refs, changes, state.alive(touched) if state.changes else None)
     layers, counts = [*state.steps, steps], [*state.made, made]
     if len(layers) > MOST_LAYERS:
         layers = [materialize(_union(layers).groupBy("scope", "key").agg(F.sum("step").alias("step")).where("step <> 0"))]
