@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.keys import BLANKS
 from fathomline.llm.copies import collapse_copies
 from fathomline.llm.enrich import distinctive_in, distinctive_links, distinctive_terms
 from fathomline.llm.leaks import find_leaks
@@ -43,6 +44,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).where("piece = 0").select("row_id")
 
 
+def p3_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Long texts put together again from their pieces without what these share, and whether the pieces keep the
+    size and overlap, end at blanks where the text has any near, and have text of their own."""
+    pieces = p3_pieces(spark, folder).join(table(spark, folder, "chunks").select("row_id", F.col("text").alias("whole")), "row_id")
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("row_id").orderBy("piece")), F.lit(0))
+    rows = pieces.withColumn("before", before).withColumn("own", F.expr("substring(text, before - start + 1)"))
+    natural = (F.col("end") == F.char_length("whole")) | F.expr("substring(whole, end + 1, 1)").rlike(BLANKS) | ~F.expr("substring(whole, before + 351, start + 1400 - before - 350)").rlike(rf"(?!{BLANKS}).{BLANKS}")
+    ok = (F.char_length("text") <= 1400) & ((F.col("piece") == 0) | (F.col("before") - F.col("start")).between(0, 100)) & ((F.col("end") - F.col("before") >= 350) | (F.col("end") == F.char_length("whole"))) & natural
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda p: p["own"])
+    return rows.groupBy("row_id").agg(F.md5(F.array_join(parts, "")).alias("md5"), F.bool_and(ok).alias("kept"))
+
+
 def p4_links(spark: SparkSession, folder: str) -> DataFrame:
     gold, chunks = table(spark, folder, "gold"), table(spark, folder, "chunks")
     links = distinctive_links(gold, "q_id", F.col("q"), chunks, "row_id", F.col("text"), 6)
@@ -82,6 +95,12 @@ def p5_card(spark: SparkSession, folder: str) -> DataFrame:
     return loss_card(_routed(spark, folder))
 
 
+def p5_reached(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the search finds nine tenths of the exact ten neighbours, and 98 % of their similarity."""
+    card = loss_card(_routed(spark, folder))
+    return card.select("n_vectors", "n_queries", (F.col("id_recall_at_10") >= 0.9).alias("ids"), (F.col("score_recall_at_10") >= 0.98).alias("scores"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), "doc_id", F.col("text"), table(spark, folder, "eval_items"), "item_id", F.col("text"))
 
@@ -131,6 +150,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return levels.where("words >= 40 and lix >= 62").select("doc_id")
 
 
+def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts behind the levels."""
+    return p8_levels(spark, folder).select("doc_id", "source", "words", "sentences", "long_words", F.round("lix", 6).alias("lix"))
+
+
 def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     return level_profile(p8_levels(spark, folder))
 
@@ -141,10 +165,10 @@ def p8_folds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rebuilt": p3_rebuilt,
     "p4_found": p4_found, "p4_links": p4_links, "p4_question_terms": p4_question_terms, "p4_chunk_terms": p4_chunk_terms,
-    "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_card": p5_card, "p6_found": p6_found, "p6_leaks": p6_leaks,
-    "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile, "p8_folds": p8_folds,
+    "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_card": p5_card, "p5_reached": p5_reached, "p6_found": p6_found, "p6_leaks": p6_leaks,
+    "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels, "p8_counts": p8_counts, "p8_profile": p8_profile, "p8_folds": p8_folds,
 }
 
 _P1 = r"""
@@ -200,6 +224,15 @@ ORACLE = {
     "p4_chunk_terms": _COUNTS + ", " + _tails("cr") + " SELECT id AS row_id, term, k, n, in_all, df, round(score, 2) AS score FROM sc",
     "p4_question_terms": _COUNTS + ", " + _tails("qr") + " SELECT id AS q_id, term, k, n, in_all, df, round(score, 2) AS score FROM sc",
     "p4_links": f"{_COUNTS}, {_tails('cr')}, {_tails('qr', '_q')} SELECT q.id AS q_id, c.id AS row_id, term, round(q.score, 2) AS query_score, round(c.score, 2) AS row_score FROM sc c JOIN sc_q q USING (term) WHERE c.df <= 6",
+    "p3_rebuilt": "SELECT row_id, md5(text) AS md5, true AS kept FROM chunks WHERE length(text) > 1400",
+    "p5_reached": """WITH v AS (SELECT vec_id FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT count(*) AS n_vectors, count(*) FILTER (WHERE vec_id % 20 = 0) AS n_queries, true AS ids, true AS scores FROM v""",
+    "p8_counts": r"""
+WITH d AS (SELECT doc_id, source, replace(lower(coalesce(text, '')), 'ß', 'ss') AS t FROM documents),
+w AS (SELECT doc_id, nullif(lower(regexp_replace(source, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), '') AS source, regexp_extract_all(t, '\p{L}+') AS w,
+  len(list_filter(regexp_split_to_array(t, '[.!?](?:BLANK_|$)|\n[ \t\r\x{a0}]*\n'), lambda s: regexp_matches(s, '\p{L}'))) AS s FROM d),
+c AS (SELECT doc_id, source, len(w) AS n, s, len(list_filter(w, lambda x: length(x) > 6)) AS l FROM w)
+SELECT doc_id, source, CAST(n AS INT) AS words, CAST(s AS INT) AS sentences, CAST(l AS INT) AS long_words, CASE WHEN n = 0 THEN 0 ELSE round(n / s + 100.0 * l / n, 6) END AS lix FROM c""".replace("BLANK_", BLANKS),
     "p6_leaks": _P6,
     "p1_found": _P1 + """, grouped AS (SELECT min(row_id) OVER (PARTITION BY g, key) AS first_row, row_id AS copy_row FROM keyed WHERE len(key) > 0)
 SELECT first_row, copy_row FROM grouped WHERE first_row <> copy_row""",

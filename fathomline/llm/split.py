@@ -35,7 +35,8 @@ def cuts(text: str, limit: int = 1400, overlap: int = 100, least: int = 350) ->
 
     From the latest cut, the landmark is the least rolling hash among the ends allowed by ``least``
     and ``limit``; it moves to the nearest paragraph end allowed, else sentence or line end, else word
-    end, and stays where there is none. The last piece too has ``least`` characters of its own. A piece begins at the first word start in the ``overlap``
+    end, and stays where there is none. The last piece too has ``least`` characters
+    of its own, unless only an end nearer to the text's is natural. A piece begins at the first word start in the ``overlap``
     characters before the latest cut, and that many before it where there is no blank.
     """
     if len(text) <= limit:
@@ -45,11 +46,11 @@ def cuts(text: str, limit: int = 1400, overlap: int = 100, least: int = 350) ->
     begins = np.fromiter((m.start() for m in WORD_START.finditer(text)), np.int64)
     out, start, cut = [], 0, 0
     while len(text) - start > limit:
-        low, high = cut + least, min(start + limit, len(text) - least)
+        low, high, last = cut + least, min(start + limit, len(text) - least), start + limit
         mark = low + int(np.argmin(order[low - 1 : high]))
         end = mark
-        for ends in levels:
-            near = ends[np.searchsorted(ends, low) : np.searchsorted(ends, high, "right")]
+        for ends, most in [*((ends, high) for ends in levels), *((ends, last) for ends in levels)]:
+            near = ends[np.searchsorted(ends, low) : np.searchsorted(ends, most, "right")]
             if len(near):
                 end = int(near[np.argmin(np.abs(near - mark))])
                 break
