@@ -81,7 +81,7 @@ def proofs(wanted: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def atomized(claims: DataFrame, boxes: DataFrame, fulltext: DataFrame | None = None) -> DataFrame:
-    """(row_id, kind, verdict, proof_doc, page, label_word, value_word, line): each claim's best verdict
+    """(row_id, kind, verdict, proof_doc, page, label_word, value_word, line, label_box, value_box): each claim's best verdict
     over its documents; the proof is that of the first verified one. row_id is unique."""
     rows = prepared(claims)
     asked = rows.where("early is null").select("row_id", "word", "numeric", "variants", "unit", F.posexplode("docs").alias("doc_pos", "doc"))
@@ -90,10 +90,10 @@ def atomized(claims: DataFrame, boxes: DataFrame, fulltext: DataFrame | None = N
     found = proofs(asked.where("label_ok and value_ok"), boxes)
     judged = asked.join(found, ["row_id", "doc"], "left")
     rank = F.when(~F.col("label_ok"), 0).when(~F.col("value_ok"), 1).when(F.col("page").isNull(), 2).otherwise(3)
-    proof = F.when(rank == 3, F.struct("doc", "page", "label_word", "value_word", "line"))
+    proof = F.when(rank == 3, F.struct("doc", "page", "label_word", "value_word", "line", "label_box", "value_box"))
     best = judged.groupBy("row_id").agg(F.max(rank).alias("rank"), F.min_by(proof, F.when(rank == 3, F.col("doc_pos"))).alias("proof"))
     verdict = F.coalesce("early", F.element_at(F.array(*map(F.lit, RANKED)), F.col("rank") + 1))
-    return rows.join(best, "row_id", "left").select("row_id", "kind", verdict.alias("verdict"), F.col("proof.doc").alias("proof_doc"), "proof.page", "proof.label_word", "proof.value_word", "proof.line")
+    return rows.join(best, "row_id", "left").select("row_id", "kind", verdict.alias("verdict"), F.col("proof.doc").alias("proof_doc"), "proof.page", "proof.label_word", "proof.value_word", "proof.line", "proof.label_box", "proof.value_box")
 
 
 def atom_ids(atoms: DataFrame, fields: list[str]) -> DataFrame:

@@ -17,6 +17,11 @@ def atom_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return _atoms(spark, folder).select("row_id", "kind", "verdict", "proof_doc", "page", "label_word", "value_word")
 
 
+def atom_proofs(spark: SparkSession, folder: str) -> DataFrame:
+    """Where verified claims stand: the words of the band, and the boxes of label and value."""
+    return _atoms(spark, folder).where("verdict = 'verified'").select("row_id", "proof_doc", "line", "label_box", "value_box")
+
+
 def atom_verdicts_boxes_only(spark: SparkSession, folder: str) -> DataFrame:
     """Without a text register: the boxes' words are the text."""
     return verify.atomized(table(spark, folder, "claims_in"), table(spark, folder, "boxes")).select("row_id", "verdict")
@@ -32,7 +37,7 @@ def box_band_join(spark: SparkSession, folder: str) -> DataFrame:
     return bands.groupBy("row_id", "doc", "label_no").agg(F.count(F.lit(1)).alias("boxes"))
 
 
-QUERIES = {f.__name__: f for f in (atom_verdicts, atom_verdicts_boxes_only, verdict_report, box_band_join)}
+QUERIES = {f.__name__: f for f in (atom_verdicts, atom_proofs, atom_verdicts_boxes_only, verdict_report, box_band_join)}
 
 
 def _prepared() -> str:
@@ -52,9 +57,9 @@ ex AS (SELECT row_id, doc, any_value(word) AS word, any_value(num) AS num, any_v
 
 _TEXT_FULL = r"tx AS (SELECT nullif(lower(regexp_replace(doc, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), '') AS doc, lower(max_by(text, (received_at, row_id))) AS text FROM fulltext WHERE text IS NOT NULL GROUP BY 1)"
 _TEXT_BOXES = r"tx AS (SELECT nullif(lower(regexp_replace(doc, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), '') AS doc, lower(string_agg(text, ' ' ORDER BY box_seq, text)) AS text FROM boxes GROUP BY 1)"
-_BANDS = """lb AS (SELECT * FROM (SELECT q.row_id, q.doc, b.page, b.x1 AS lx1, b.y0 AS ly0, b.text AS label_word, CAST(row_number() OVER (PARTITION BY q.row_id, q.doc ORDER BY box_seq, page, y0, x0, text) AS INT) AS label_no
+_BANDS = """lb AS (SELECT * FROM (SELECT q.row_id, q.doc, b.page, b.x0 AS lx0, b.x1 AS lx1, b.y0 AS ly0, b.y1 AS ly1, b.text AS label_word, CAST(row_number() OVER (PARTITION BY q.row_id, q.doc ORDER BY box_seq, page, y0, x0, text) AS INT) AS label_no
   FROM WANTED_ q JOIN bx b ON b.doc = q.doc AND contains(lower(b.text), q.word)) WHERE label_no <= 20),
-bd AS (SELECT lb.*, b.x0, b.y0, b.box_seq, b.text FROM lb JOIN bx b ON b.doc = lb.doc AND b.page = lb.page AND b.y0 BETWEEN ly0 - 4 AND ly0 + 30)"""
+bd AS (SELECT lb.*, b.x0, b.y0, b.x1, b.y1, b.box_seq, b.text FROM lb JOIN bx b ON b.doc = lb.doc AND b.page = lb.page AND b.y0 BETWEEN ly0 - 4 AND ly0 + 30)"""
 
 
 def _atoms_sql(texts: str) -> str:
@@ -74,6 +79,10 @@ atoms AS (SELECT c.row_id, c.kind, coalesce(early, ['not-in-doc', 'value-not-at-
 
 ORACLE = {
     "atom_verdicts": _atoms_sql(_TEXT_FULL) + " SELECT * FROM atoms",
+    "atom_proofs": _atoms_sql(_TEXT_FULL).replace("jd AS (SELECT ck.row_id, ck.doc, dp, page", "jd AS (SELECT ck.row_id, ck.doc, dp, label_no, lx0, ly0, lx1, ly1, x0, y0, x1, y1, page") + """,
+ln AS (SELECT row_id, doc, label_no, substr(string_agg(text, ' ' ORDER BY y0, x0, box_seq, text), 1, 140) AS line FROM bd GROUP BY 1, 2, 3)
+SELECT be.row_id, be.doc AS proof_doc, line, [round(lx0, 1), round(ly0, 1), round(lx1, 1), round(ly1, 1)] AS label_box, [round(x0, 1), round(y0, 1), round(x1, 1), round(y1, 1)] AS value_box
+FROM be JOIN ln ON ln.row_id = be.row_id AND ln.doc = be.doc AND ln.label_no = be.label_no WHERE be.rank = 3""",
     "atom_verdicts_boxes_only": _atoms_sql(_TEXT_BOXES) + " SELECT row_id, verdict FROM atoms",
     "verdict_report": _atoms_sql(_TEXT_FULL) + " SELECT verdict, count(*) AS claims FROM atoms GROUP BY 1",
     "box_band_join": f"WITH {_prepared()}, {_BANDS.replace('WANTED_', 'ex')} SELECT row_id, doc, label_no, count(*) AS boxes FROM bd GROUP BY 1, 2, 3",
