@@ -64,7 +64,7 @@ def subtree(containers: DataFrame, path: str) -> DataFrame:
 def upserted(now: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
     """The latest row per key of both; an invalid slug changes nothing."""
     both = now.unionByName(new.where(F.col(key).rlike(r"^[A-Za-z0-9._/-]+$")))
-    latest = both.groupBy(key).agg(F.max_by(F.struct(*(c for c in both.columns if c != key)), at).alias("__r"))
+    latest = both.groupBy(key).agg(F.max_by(F.struct(*(c for c in both.columns if c != key)), F.struct(F.col(at).isNotNull(), F.col(at))).alias("__r"))
     return latest.select(key, "__r.*").select(now.columns)
 
 
@@ -95,10 +95,10 @@ def created(requests: DataFrame, overlay: DataFrame) -> tuple[DataFrame, DataFra
     rows = requests.withColumn("parts", parts).withColumns({"ok": F.coalesce(ok, F.lit(False)), "full": F.array_join("parts", "/")})
     name = F.when(F.col("kind") == "container", F.col("name")).otherwise(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.element_at("parts", -1)))
     new = rows.where("ok").select("kind", F.col("full").alias("path"), name.alias("name"), "description", "type", F.when(F.col("kind") == "tenant", isolation(F.col("isolation"))).alias("isolation"), "created_at")
-    fields = [c for c in new.columns if c not in ("kind", "path")]
+    fields, when = [c for c in new.columns if c not in ("kind", "path")], F.struct(F.col("created_at").isNotNull(), "created_at")
     implied = rows.where("ok and kind = 'project'").select(F.lit("tenant").alias("kind"), F.col("parts")[0].alias("path"), F.col("parts")[0].alias("name"), *(F.lit(None).cast("string").alias(c) for c in ("description", "type")), F.lit("hard").alias("isolation"), "created_at")
-    told = overlay.select(new.columns).unionByName(new).groupBy("kind", "path").agg(F.max_by(F.struct(*fields), "created_at").alias("r")).select("kind", "path", "r.*")
-    implied = implied.groupBy("kind", "path").agg(F.min_by(F.struct(*fields), "created_at").alias("r")).select("kind", "path", "r.*").join(told.select("kind", "path"), ["kind", "path"], "left_anti")
+    told = overlay.select(new.columns).unionByName(new).groupBy("kind", "path").agg(F.max_by(F.struct(*fields), when).alias("r")).select("kind", "path", "r.*")
+    implied = implied.groupBy("kind", "path").agg(F.min_by(F.struct(*fields), when).alias("r")).select("kind", "path", "r.*").join(told.select("kind", "path"), ["kind", "path"], "left_anti")
     return told.unionByName(implied), rows.select("request_id", F.when(F.col("ok"), 201).otherwise(400).alias("status"), F.when(F.col("ok"), F.col("full")).alias("path"))
 
 

@@ -37,3 +37,13 @@ def promoted(ranked: DataFrame, picks: DataFrame, most: int = 3) -> DataFrame:
     chosen = picks.withColumn("p", F.row_number().over(Window.partitionBy("q_id").orderBy("pick", "id"))).where(F.col("p") <= most)
     both = ranked.join(chosen.select("q_id", "id", "p"), ["q_id", "id"], "left")
     return both.withColumn("new_rk", F.row_number().over(Window.partitionBy("q_id").orderBy(F.asc_nulls_last("p"), "rk"))).drop("p")
+
+
+def candidate_lists(ranked: DataFrame, chunks: DataFrame, most: int = 20, cut: int = 240) -> DataFrame:
+    """(q_id, candidates): what a reranking model is shown of the ``most`` best of a ranking (q_id, id, rk): per
+    line the place from 0, the source if there is one, and the first ``cut`` characters of the text."""
+    few = ranked.where(F.col("rk") <= most).join(chunks.select("id", "source", "text"), "id")
+    source = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit(" ("), "source", F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("["), (F.col("rk") - 1).cast("string"), F.lit("]"), source, F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, cut))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rk", line.alias("line")))), lambda p: p["line"])  # most of them at most
+    return few.groupBy("q_id").agg(F.array_join(lines, "\n").alias("candidates"))

@@ -5,9 +5,14 @@ All steps are windows over a page, which is the unit of layout; a document's siz
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions import glyphs as glyphs_
+from fathomline.operators.rowwise import exploded
+
 PAGE = ["doc", "page"]
 STRIP = 32
 
@@ -131,6 +136,22 @@ def neighbours_and_words(glyphs: DataFrame) -> DataFrame:
     return rows.select(*PAGE, "block", "line", "seq", "left", "right", wpos.alias("wpos"))
 
 
+def glyph_vectors(bitmaps: DataFrame) -> DataFrame:
+    """(id, fitted, scaled, holes) of bitmaps (id, height, width, pixels as bytes, row by row): see
+    ``functions.glyphs``. A null bitmap, or one whose bytes aren't height x width, has no row; one without ink has
+    no ``fitted``."""
+
+    def make(height: int | None, width: int | None, pixels: bytes | None) -> list[tuple]:
+        if height is None or width is None or pixels is None or len(pixels) != height * width:
+            return []
+        a = np.frombuffer(pixels, np.uint8).reshape(height, width)
+        fit = glyphs_.fitted(a)
+        return [(None if fit is None else fit.ravel().tolist(), glyphs_.scaled(a).ravel().tolist(), glyphs_.holes(a))]
+
+    floats = ("array<float>", pa.list_(pa.float32()))
+    return exploded(bitmaps, ["id"], ["height", "width", "pixels"], {"fitted": floats, "scaled": floats, "holes": ("int", pa.int32())}, make)
+
+
 def merged_spans(spans: DataFrame, gap: float = 30) -> DataFrame:
     """(doc, page, line, seg, text, x, x2): spans of a line joined while at most ``gap`` apart."""
     order = Window.partitionBy(*PAGE, "line").orderBy("x", "seq")

@@ -100,6 +100,11 @@ def rerank_promote(spark: SparkSession, folder: str) -> DataFrame:
     return fuse.promoted(ranked.select("q_id", "id", "rk"), picks)
 
 
+def rerank_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select(F.col("row_id").alias("id"), "source", "text")
+    return fuse.candidate_lists(_gold_top(spark, folder, 20), chunks)
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     gold = table(spark, folder, "gold")
     hits = evaluate.with_hits(_top_with_text(spark, folder, 3), gold)
@@ -123,7 +128,7 @@ def match_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     tokenize_counts, term_df, doc_length_stats, bm25_topk, bm25_topk_evalrank, dense_topk, rrf_fuse, rrf_eval50, fanout_merge,
-    fanout_merge_by_container, rerank_promote, recall_at_k, fail_diagnosis, match_projection,
+    fanout_merge_by_container, rerank_promote, rerank_candidates, recall_at_k, fail_diagnosis, match_projection,
 )}
 
 _SERVER, _EVAL = "[a-zà-ÿ]{2,}|[0-9]+", "[a-zäöü]{2,}|[0-9]+"
@@ -173,6 +178,7 @@ ORACLE = {
     "fanout_merge_by_container": _PER_CONTAINER.replace("ORDER_", "container_id, crk"),
     "rerank_promote": _TOP_TEXT.replace("TOP_", "10") + """, p AS (SELECT t.q_id, t.id, row_number() OVER (PARTITION BY t.q_id ORDER BY rk DESC) AS p FROM t JOIN g USING (q_id) WHERE wanted <> '' AND contains(d, wanted))
 SELECT q_id, id, rk, row_number() OVER (PARTITION BY q_id ORDER BY CASE WHEN p <= 3 THEN p END NULLS LAST, rk) AS new_rk FROM t LEFT JOIN p USING (q_id, id)""",
+    "rerank_candidates": f"WITH {_GOLD}, r AS (SELECT * FROM (SELECT *, {_RANK} AS rk FROM s) WHERE rk <= 20) SELECT q_id, string_agg('[' || (rk - 1) || ']' || CASE WHEN coalesce(source, '') <> '' THEN ' (' || source || ')' ELSE '' END || ' ' || substr(coalesce(text, ''), 1, 240), chr(10) ORDER BY rk) AS candidates FROM r JOIN chunks ON r.id = row_id GROUP BY 1",
     "recall_at_k": _QUESTIONS + " SELECT count(*) AS questions, round(avg(hit1), 6) AS recall1, round(avg(hit3), 6) AS recall3, round(avg(oracle), 6) AS oracle FROM a",
     "fail_diagnosis": _QUESTIONS + " SELECT q_id, CASE WHEN oracle = 0 THEN 'no atom' ELSE 'rank > 3' END AS diagnosis, (SELECT string_agg(coalesce(source, ''), '; ' ORDER BY rk) FROM t WHERE t.q_id = a.q_id) AS sources FROM a WHERE hit3 = 0",
     "match_projection": f"WITH {_GOLD} SELECT q_id, rk, round(score, 4) AS score, row_id, source, substr(text, 1, 700) AS text, page, y, line_from, line_to, reader FROM (SELECT *, {_RANK} AS rk FROM s) r JOIN chunks ON r.id = row_id WHERE rk <= 8",

@@ -16,8 +16,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.operators.catalog import OVERLAY
 from fathomline.operators.codec import Codebook, decoded, encoded
 from fathomline.operators.dense import unpacked, usable
+from fathomline.session import materialize
 from fathomline.sources.io import manifest, raw_vectors, stored_kind
 
 CHUNKS, ORDER, INDEX, VECTORS, STORE, MANIFEST = "data/chunks.jsonl", ".brain/order", ".brain/index.json", ".brain/vectors.f32", ".brain/store", "container.json"
@@ -140,3 +142,17 @@ def field_catalog(spark: SparkSession, path: str | None) -> DataFrame | None:
         return None if rows.isEmpty() else rows
     except AnalysisException:
         return None
+
+
+def save_overlay(overlay: DataFrame, path: str) -> None:
+    """Write what was told of tenants, projects and containers in place of what was there; it may have been read
+    from there."""
+    materialize(overlay).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)  # a row per name told
+
+
+def load_overlay(spark: SparkSession, path: str) -> DataFrame:
+    """What was told; nothing if nothing was written."""
+    try:
+        return spark.read.schema(OVERLAY).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], OVERLAY)

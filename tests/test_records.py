@@ -2,6 +2,7 @@ import datetime as dt
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import catalog, claims, codec, dense, ground, history, ingest, layout, lexicon, verify
@@ -240,3 +241,17 @@ def test_joined_cents_against_brute_force(spark):
     got = claims.joined_cents(spark.createDataFrame(data, claims.LINES))
     assert {(r.page, r.line_seq): r.text for r in got.collect()} == want
     assert any("," in v and v != "7,10" for v in want.values())
+
+
+def test_glyph_vectors(spark):
+    ring = np.zeros((9, 7), np.uint8)
+    ring[1:8, 1:6] = 255
+    ring[2:4, 2:5] = ring[5:7, 2:5] = 0
+    corner = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], np.uint8)
+    rows = [(1, 9, 7, ring.tobytes()), (2, 3, 3, corner.tobytes()), (3, 2, 2, bytes(4)), (4, 2, 2, None), (5, 3, 3, b"xx")]
+    got = {r.id: r for r in layout.glyph_vectors(spark.createDataFrame(rows, "id int, height int, width int, pixels binary")).collect()}
+    assert set(got) == {1, 2, 3} and [got[i].holes for i in (1, 2, 3)] == [2, 1, 0] and got[3].fitted is None
+    fit = np.array(got[1].fitted).reshape(24, 16)
+    ys, xs = np.nonzero(fit)
+    assert (ys.min(), ys.max(), xs.min(), xs.max()) == (1, 22, 0, 15)
+    assert max(got[1].scaled) == pytest.approx(1, abs=1e-5) and min(got[1].scaled) == 0

@@ -97,3 +97,19 @@ def test_readers_and_field_catalog(spark, tmp_path):
     got = {r.code: r for r in C.field_catalog(spark, str(tmp_path / "f.json")).collect()}
     assert got["E1"].section == "N" and got["E1"].row == "3" and got["E2"].enum == ["1", "2"]
     assert C.field_catalog(spark, None) is None and C.field_catalog(spark, str(tmp_path / "none.json")) is None
+
+
+def test_overlay_is_kept(spark, tmp_path):
+    from fathomline.operators import catalog
+    from fathomline.sources import containers as C
+
+    path = str(tmp_path / "overlay.json")
+    ask = lambda n, kind, tenant, p, i: spark.createDataFrame([(n, kind, tenant, p, i, None, None, None, "soft", None)], "request_id int, kind string, tenant string, path string, id string, name string, description string, type string, isolation string, created_at timestamp")
+    for n, request in enumerate((("project", "t", "/a/b/", None), ("container", "t", "a/b", "c"), ("tenant", "no good", None, None), ("tenant", "u", None, None))):
+        overlay, answers = catalog.created(ask(n, *request), C.load_overlay(spark, path))
+        assert answers.first().status == (400 if n == 2 else 201)
+        C.save_overlay(overlay, path)
+    got = sorted((r.kind, r.path, r["name"], r.isolation) for r in C.load_overlay(spark, path).collect())
+    assert got == [("container", "t/a/b/c", None, None), ("project", "t/a/b", "b", None), ("tenant", "t", "t", "hard"), ("tenant", "u", "u", "soft")]
+    there = spark.createDataFrame([("t/a/x/1",), ("v/2",)], "path string")
+    assert sorted((r.path, r.containers) for r in catalog.projects(there, C.load_overlay(spark, path)).collect()) == [("t/a", 1), ("t/a/b", 0), ("t/a/x", 1)]
