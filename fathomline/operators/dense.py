@@ -71,7 +71,7 @@ class Best:
         r, c = np.nonzero(sims >= bound[:, None].astype(sims.dtype))
         self.held.append((queries[r], ids[c], np.round(sims[r, c].astype(np.float64), 6)))  # ties are then the same on every machine
         self.count += len(r)
-        if self.count > 4 * self.k * len(self.bound) + BLOCK:
+        if self.count > 2 * self.k * len(self.bound) + BLOCK // 4:
             self.prune()
 
     def prune(self) -> None:
