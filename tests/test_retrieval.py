@@ -125,3 +125,29 @@ def test_best_documents_in_blocks_and_by_joins(spark, rows, monkeypatch, seeds):
     got = lexical.bm25_top(names, "id", F.col("text"), terms, 7)
     assert rows(got.select("q_id", F.substring("id", 2, 9).cast("long").alias("id"), "score", "rk")) == want
     assert lexical.bm25_top(docs.where("false"), "id", F.col("text"), terms, 7).count() == 0 == lexical.bm25_top(docs, "id", F.col("text"), terms.where("false"), 7).count()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 2.0])
+def test_many_queries_and_parts_in_blocks(spark, rows, monkeypatch, share):
+    """Queries beyond the broadcast bound, whose terms are few, meet documents in blocks, all terms by a product, by
+    single hits or by both; and the best of each part are those of all scored pairs."""
+    rng = np.random.default_rng(6)
+    vocabulary = np.array([f"wort{chr(97 + i)}" for i in range(20)] + ["der", "die"])
+    weights = np.r_[np.full(20, 0.5), 10, 10]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 12), p=weights / weights.sum())) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, f"p{i % 7}" if i % 11 else None) for i, t in enumerate(texts)] + [(900, "fremd", "a"), (901, None, "b")], "id bigint, text string, part string")
+    terms = lexical.query_terms(spark.createDataFrame([(i, " ".join(rng.choice(vocabulary, 4))) for i in range(40)] + [(50, None)], "q_id bigint, q string"), "q_id", F.col("q"))
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 1_500)
+    monkeypatch.setattr(lexical, "_top_by_joins", None)
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 9)
+    monkeypatch.setattr(lexical, "BLOCK", 200)
+    monkeypatch.setattr(lexical, "DENSE_SHARE", share)
+    monkeypatch.setattr(lexical, "HITS_AT_ONCE", 3 if share == 0.01 else 2_000)
+    scored = lexical.bm25(docs, "id", F.col("text"), terms)
+    got = lexical.bm25_top(docs, "id", F.col("text"), terms, 7)
+    assert rows(got) == rows(lexical.top(scored, 7).select("q_id", "id", "score", "rk"))
+    held = scored.join(docs.select("id", "part"), "id").where("part is not null and part < 'p4'").withColumn("by", F.struct("q_id", "part"))
+    want = rows(lexical.top(held, 3, by="by").select("q_id", "part", "id", "score", "rk"))
+    assert rows(lexical.bm25_top_by_part(docs, "id", F.col("text"), terms, 3, "part", 4)) == want
+    monkeypatch.setattr(lexical, "ASKED_PAIRS", 1)
+    assert rows(lexical.bm25_top_by_part(docs, "id", F.col("text"), terms, 3, "part", 4)) == want
