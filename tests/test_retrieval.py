@@ -142,6 +142,7 @@ def test_many_queries_and_parts_in_blocks(spark, rows, monkeypatch, share):
     monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 9)
     monkeypatch.setattr(lexical, "BLOCK", 200)
     monkeypatch.setattr(lexical, "DENSE_SHARE", share)
+    monkeypatch.setattr(lexical, "MANY_PAIRS", 0.0 if share == 2.0 else 2.0)
     monkeypatch.setattr(lexical, "HITS_AT_ONCE", 3 if share == 0.01 else 2_000)
     scored = lexical.bm25(docs, "id", F.col("text"), terms)
     got = lexical.bm25_top(docs, "id", F.col("text"), terms, 7)
